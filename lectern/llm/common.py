@@ -8,6 +8,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -72,7 +73,7 @@ def range_of(bounds: list[int], col: Column) -> Column:
 
 def batches(batch: pa.RecordBatch, most: int = 2_000_000, column: str = "text") -> Iterator[pa.RecordBatch]:
     """Slices of whole rows with about `most` bytes of text each; a longer text is a slice of its own."""
-    sizes = np.asarray(pa.compute.fill_null(pa.compute.binary_length(batch.column(column)), 0), dtype=np.int64)
+    sizes = np.asarray(pc.fill_null(pc.binary_length(batch.column(column)), 0), dtype=np.int64)
     at, total = 0, 0
     for i, n in enumerate(sizes):
         if total and total + n > most:
