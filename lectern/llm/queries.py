@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lectern.llm import bpe, jaccard, pii, quality, substrings, toxicity
+from lectern.llm import bpe, decontaminate, fingerprints, jaccard, pii, quality, substrings, toxicity
 from lectern.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -36,6 +36,14 @@ def op5_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.join(table(spark, sf_dir, "documents"))
 
 
+def op6_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.compared(table(spark, sf_dir, "documents"))
+
+
+def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.digests(decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")))
+
+
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return quality.classify(docs, docs, table(spark, sf_dir, "labels"))
@@ -50,7 +58,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_substrings, op3_pii, op5_jaccard, op8_quality, op9_bpe, op10_toxicity)}
+    return {f.__name__: f for f in (op1_substrings, op3_pii, op5_jaccard, op6_fingerprints, op7_decontaminate, op8_quality, op9_bpe, op10_toxicity)}
 
 
 def oracle_sql() -> dict[str, str]:
