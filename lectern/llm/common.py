@@ -41,9 +41,14 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def clean(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Only (id long, text string), whatever else the table holds."""
-    return docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text"))
+def clean(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
+    """Only (id long, text string) and, as carry0, carry1, …, the columns to carry along, whatever else the table holds."""
+    return docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text"), *[F.col(f"`{c}`").alias(f"carry{k}") for k, c in enumerate(carry)])
+
+
+def carried(carry: tuple[str, ...]) -> list[Column]:
+    """The carried columns under their own names."""
+    return [F.col(f"carry{k}").alias(c) for k, c in enumerate(carry)]
 
 
 def figures(docs: DataFrame) -> tuple[int, int]:

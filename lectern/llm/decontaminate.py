@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from lectern.llm.common import clean, stored
+from lectern.llm.common import carried, clean, stored
 
 WINDOW = 10
 #: Tables of up to this many benchmark terms go to every executor; larger ones are met in a shuffle join.
@@ -84,10 +84,10 @@ def occurrences(docs: DataFrame, bench: DataFrame, size: int = WINDOW) -> tuple[
     return found, met.where("votes = roles").select("id", "key", "start")
 
 
-def contamination(docs: DataFrame, bench: DataFrame, size: int = WINDOW, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id") -> DataFrame:
+def contamination(docs: DataFrame, bench: DataFrame, size: int = WINDOW, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", carry: tuple[str, ...] = ()) -> DataFrame:
     """doc_id, n_words, n_hit, items (ids of items with an occurring window, sorted), hits (array of [start, end) word
     intervals of occurrences) of every row. A word inside any occurrence of a window is hit. A null text has no words; an
-    item without words has no window; a null item id is left out of items. Rows of equal id are told apart.
+    item without words has no window; a null item id is left out of items. Rows of equal id are told apart. Columns named in `carry` come along.
     """
     plain = clean(docs, id_col, text_col).withColumn("words", words(F.col("text")))
     # Rows are known by a fingerprint of id and text, so that equal ids with different texts stay apart.
@@ -96,10 +96,11 @@ def contamination(docs: DataFrame, bench: DataFrame, size: int = WINDOW, id_col:
     n = found.count()
     phrases = found.select("key", "phrase", "items")
     per_doc = candidates.join(small(phrases, 10 * n), "key").groupBy("id").agg(F.collect_set(F.struct("start", "phrase", "items")).alias("spots"))
-    rows = clean(docs, id_col, text_col).withColumn("key", F.xxhash64("id", "text"))
-    both = rows.join(per_doc.withColumnRenamed("id", "key"), "key", "left").select("id", words(F.col("text")).alias("words"), "spots")
+    rows = clean(docs, id_col, text_col, carry).withColumn("key", F.xxhash64("id", "text"))
+    extra = [f"carry{k}" for k in range(len(carry))]
+    both = rows.join(per_doc.withColumnRenamed("id", "key"), "key", "left").select("id", words(F.col("text")).alias("words"), "spots", *extra)
     true = F.filter("spots", lambda s: F.slice("words", s["start"] + 1, F.size(s["phrase"])) == s["phrase"])
-    both = both.select("id", F.size("words").cast("long").alias("n_words"), true.alias("spots"))
+    both = both.select("id", F.size("words").cast("long").alias("n_words"), true.alias("spots"), *extra)
     none = F.array().cast(T.ArrayType(T.LongType()))
     hit = F.array_distinct(F.flatten(F.transform("spots", lambda s: F.sequence(s["start"], s["start"] + F.size(s["phrase"]) - 1))))
     items = F.array_distinct(F.flatten(F.transform("spots", lambda s: s["items"])))
@@ -108,6 +109,7 @@ def contamination(docs: DataFrame, bench: DataFrame, size: int = WINDOW, id_col:
         F.col("id").alias("doc_id"), "n_words",
         F.coalesce(F.size(hit), F.lit(0)).cast("long").alias("n_hit"), F.coalesce(items, none).alias("items"),
         F.coalesce(spans, F.array().cast("array<struct<start:bigint,end:bigint>>")).alias("hits"),
+        *carried(carry),
     )
 
 

@@ -14,6 +14,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from lectern.llm.common import batches, clean, labelled_sample
 
@@ -125,6 +126,20 @@ def score(docs: DataFrame, net: Network, id_col: str = "doc_id", text_col: str =
     return clean(docs, id_col, text_col).mapInArrow(run, "doc_id long, score double")
 
 
+def annotated(docs: DataFrame, net: Network, text_col: str = "text") -> DataFrame:
+    """All columns of docs as they are, and score; needs no join. A column `score` of docs is replaced."""
+    rest = docs.drop("score")
+    at = rest.columns.index(text_col)
+
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in parts:
+            for b in batches(part, column=part.schema.names[at]):
+                texts = [t or b"" for t in b.column(at).cast(pa.binary()).to_pylist()]
+                yield pa.RecordBatch.from_arrays([*b.columns, pa.array(net.score(texts).astype(np.float64))], names=[*b.schema.names, "score"])
+
+    return rest.mapInArrow(run, T.StructType([*rest.schema.fields, T.StructField("score", T.DoubleType())]))
+
+
 def classify(docs: DataFrame, labelled_docs: DataFrame, labels: DataFrame, threshold: float = 0.3) -> DataFrame:
     """Contract rows: doc_id, held_out, score, predicted. Learns from the labelled texts of `labelled_docs` that aren't held out."""
     net = train(*labelled_sample(labelled_docs, labels, "quality", 5, 0, SAMPLE_PER_CLASS))
