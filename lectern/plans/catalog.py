@@ -5,13 +5,411 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.window import Window
+
+from lectern.functions import text as X
+from lectern.operators import reconcile as R
+from lectern.operators import rows as O
+from lectern.operators import similarity as V
 
 Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
+ORACLES: dict[str, str] = {}
+#: "Now" of the operational queries: a parameter, never the clock.
+NOW = "TIMESTAMP '2024-01-20 00:00:00'"
+
+
+def query(name: str, sql: str | None = None) -> Callable[[Callable], Callable]:
+    """Registers f(t), t giving tables by name, as a query; sql is its oracle."""
+
+    def wrap(f: Callable) -> Callable:
+        QUERIES[name] = lambda spark, sf_dir: f(lambda t: spark.read.parquet(f"{sf_dir.rstrip('/')}/{t}.parquet"))
+        if sql:
+            ORACLES[name] = sql
+        return f
+
+    return wrap
 
 
 def queries() -> dict[str, Query]:
-    return {}
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(ORACLES)
+
+
+# ------------------------------------------------------------------------------------------------ similar documents
+
+COSINE = """WITH p AS (SELECT a.vec_id AS src, b.vec_id AS dst, round(list_dot_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[])
+ / (sqrt(list_dot_product(a.embedding::DOUBLE[], a.embedding::DOUBLE[])) * sqrt(list_dot_product(b.embedding::DOUBLE[], b.embedding::DOUBLE[]))), 6) AS score
+ FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id {extra}),
+ r AS (SELECT *, CAST(row_number() OVER (PARTITION BY src ORDER BY score DESC, dst) AS INTEGER) AS rank FROM p WHERE score >= 0.4 AND score < 0.95)
+ SELECT src, dst, score, rank FROM r WHERE rank <= 5"""
+
+
+@query("similar_embed_topk", COSINE.format(extra=""))
+def _(t):
+    return V.embedding_topk(t("embeddings"))
+
+
+@query("similar_embed_grouped", COSINE.format(extra="AND (a.label <> 1 OR b.label = 1)"))
+def _(t):
+    return V.embedding_topk(t("embeddings"), group="label")
+
+
+TFIDF = """w AS (SELECT item_id AS id, list_filter(regexp_split_to_array(lower(text), '[^a-z0-9]+'), lambda x: length(x) >= 2) AS w FROM benchmark),
+ g AS (SELECT id, unnest(w) AS term FROM w UNION ALL SELECT id, unnest(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) FROM w),
+ tf AS (SELECT id, term, count(*) AS tf FROM g GROUP BY ALL), n AS (SELECT count(*) AS n FROM benchmark),
+ df AS (SELECT term, count(*) AS df FROM tf GROUP BY term),
+ x AS (SELECT id, tf.term, tf * (ln((1 + n) / (1 + df)) + 1) AS w FROM tf JOIN df USING (term), n WHERE df >= 2 AND df <= 0.5 * n),
+ v AS (SELECT id, term, w / sqrt(sum(w * w) OVER (PARTITION BY id)) AS w FROM x),
+ p AS (SELECT a.id AS src, b.id AS dst, round(sum(a.w * b.w), 6) AS score FROM v a JOIN v b ON a.term = b.term AND a.id <> b.id GROUP BY ALL)"""
+
+
+@query("similar_tfidf_pairs", f"WITH {TFIDF} SELECT src, dst, round(score, 4) AS score FROM p")
+def _(t):
+    docs = t("benchmark").select(F.col("item_id").alias("id"), "text")
+    return V.tfidf_pairs(V.tfidf(docs)).select("src", "dst", F.round("score", 4).alias("score"))
+
+
+@query("similar_hybrid", f"""WITH {TFIDF}, e AS (SELECT a.vec_id AS src, b.vec_id AS dst, round(list_dot_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[])
+ / (sqrt(list_dot_product(a.embedding::DOUBLE[], a.embedding::DOUBLE[])) * sqrt(list_dot_product(b.embedding::DOUBLE[], b.embedding::DOUBLE[]))), 6) AS score
+ FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id WHERE a.vec_id IN (SELECT item_id FROM benchmark) AND b.vec_id IN (SELECT item_id FROM benchmark)),
+ h AS (SELECT coalesce(p.src, e.src) AS src, coalesce(p.dst, e.dst) AS dst, round(0.4 * coalesce(p.score, 0) + 0.6 * coalesce(e.score, 0), 6) AS score FROM p FULL JOIN e ON p.src = e.src AND p.dst = e.dst),
+ r AS (SELECT *, row_number() OVER (PARTITION BY src ORDER BY score DESC, dst) AS rank FROM h WHERE score >= 0.02 AND score < 0.95)
+ SELECT src, count(*) AS n, round(max(score), 3) AS best FROM r WHERE rank <= 5 GROUP BY src""")
+def _(t):
+    docs = t("benchmark").select(F.col("item_id").alias("id"), "text")
+    near = V.embedding_topk(t("embeddings").join(docs.select(F.col("id").alias("vec_id")), "vec_id", "left_semi"), low=-1.5, high=2.0, k=1_000_000)
+    best = V.similar(V.hybrid(V.tfidf_pairs(V.tfidf(docs)), near.select("src", "dst", "score")), low=0.02)
+    return best.groupBy("src").agg(F.count(F.lit(1)).alias("n"), F.round(F.max("score"), 3).alias("best"))
+
+
+# ------------------------------------------------------------------------------------------------ windows and top-k
+
+
+@query("latest_event_per_user", "SELECT user_id, event_id, event_type FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) = 1")
+def _(t):
+    return O.latest_per_key(t("events"), ["user_id"], [F.desc("ts"), F.desc("event_id")]).select("user_id", "event_id", "event_type")
+
+
+@query("neighbour_rows", "SELECT event_id, lag(event_id) OVER w AS before_id, lead(event_id) OVER w AS after_id FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)")
+def _(t):
+    w = Window.partitionBy("user_id").orderBy("ts", "event_id")
+    return t("events").select("event_id", F.lag("event_id").over(w).alias("before_id"), F.lead("event_id").over(w).alias("after_id"))
+
+
+@query("sessions_per_user", """WITH s AS (SELECT user_id, CASE WHEN epoch_us(ts) - lag(epoch_us(ts)) OVER (PARTITION BY user_id ORDER BY ts, event_id) <= 3600000000 THEN 0 ELSE 1 END AS f FROM events)
+ SELECT user_id, CAST(sum(f) AS BIGINT) AS sessions FROM s GROUP BY user_id""")
+def _(t):
+    return O.sessions(t("events"), "user_id", "ts", 3600).groupBy("user_id").agg(F.max("session").alias("sessions"))
+
+
+@query("best_of_group", "SELECT l_orderkey, l_partkey, l_linenumber FROM lineitem QUALIFY row_number() OVER (PARTITION BY l_orderkey ORDER BY l_returnflag DESC, l_quantity DESC, l_linenumber, l_partkey) = 1")
+def _(t):
+    best = F.max_by(F.struct("l_partkey", "l_linenumber"), F.struct("l_returnflag", "l_quantity", -F.col("l_linenumber"), -F.col("l_partkey")))
+    return t("lineitem").groupBy("l_orderkey").agg(best.alias("b")).select("l_orderkey", "b.l_partkey", "b.l_linenumber")
+
+
+@query("dedupe_blocks", """WITH b AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS block, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS pos FROM documents),
+ l AS (SELECT *, lag(trim(block)) OVER (PARTITION BY doc_id ORDER BY pos) AS before FROM b)
+ SELECT doc_id, count(*) AS n_blocks, CAST(sum(length(block)) AS BIGINT) AS chars FROM l WHERE before IS NULL OR trim(block) <> before GROUP BY doc_id""")
+def _(t):
+    blocks = t("documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("pos", "block"))
+    return O.changed_blocks(blocks, "doc_id", "pos", "block").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_blocks"), F.sum(F.char_length("block").cast("long")).alias("chars"))
+
+
+@query("running_headers", """WITH b AS (SELECT doc_id, trim(unnest(string_split(text, chr(10)))) AS block FROM documents),
+ h AS (SELECT block FROM b WHERE length(block) BETWEEN 1 AND 80 GROUP BY block HAVING count(DISTINCT doc_id) >= 3)
+ SELECT doc_id, count(*) AS kept FROM b WHERE block <> '' AND NOT regexp_matches(block, '^[0-9]{1,4}$') AND block NOT IN (SELECT block FROM h) GROUP BY doc_id""")
+def _(t):
+    blocks = t("documents").select("doc_id", F.explode(F.split("text", "\n")).alias("block")).withColumn("block", F.trim("block"))
+    heads = blocks.where(F.char_length("block").between(1, 80)).groupBy("block").agg(F.count_distinct("doc_id").alias("n")).where("n >= 3").select("block")
+    return blocks.where("block != ''").where(~F.col("block").rlike("^[0-9]{1,4}$")).join(heads, "block", "left_anti").groupBy("doc_id").agg(F.count(F.lit(1)).alias("kept"))
+
+
+# ------------------------------------------------------------------------------------------------ aggregates
+
+
+@query("success_rate_window", f"SELECT event_type, count(*) AS n, round(100.0 * sum(CASE WHEN value > 50 THEN 1 ELSE 0 END) / nullif(count(*), 0), 1) AS rate FROM events WHERE ts >= {NOW} - INTERVAL 7 DAYS AND ts < {NOW} GROUP BY event_type")
+def _(t):
+    return t("events").where(f"ts >= {NOW} - INTERVAL 7 DAYS AND ts < {NOW}").groupBy("event_type").agg(F.count(F.lit(1)).alias("n"), R.rate(F.col("value") > 50).alias("rate"))
+
+
+@query("recent_latency_shed", """WITH r AS (SELECT user_id, value FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) <= 20)
+ SELECT user_id, count(*) AS samples, CAST(CASE WHEN count(*) < 5 THEN 0 WHEN avg(value) * 20 < 500 THEN 0 WHEN avg(value) * 20 > 2000 THEN 5 ELSE 2 END AS INTEGER) AS delay FROM r GROUP BY user_id""")
+def _(t):
+    last = O.top_k(t("events"), ["user_id"], [F.desc("ts"), F.desc("event_id")], 20)
+    return last.groupBy("user_id").agg(F.count(F.lit(1)).alias("samples"), F.avg("value").alias("v")).select("user_id", "samples", R.shed_load(F.col("samples"), F.col("v") * 20).alias("delay"))
+
+
+@query("status_histogram", "SELECT o_orderpriority, count(*) FILTER (o_orderstatus = 'O') AS open, count(*) FILTER (o_orderstatus = 'F') AS fulfilled, count(*) FILTER (o_orderstatus = 'P') AS pending, count(*) FILTER (o_orderstatus = 'X') AS missing FROM orders GROUP BY 1")
+def _(t):
+    return t("orders").groupBy("o_orderpriority").agg(*[F.count(F.when(F.col("o_orderstatus") == s, 1)).alias(n) for s, n in (("O", "open"), ("F", "fulfilled"), ("P", "pending"), ("X", "missing"))])
+
+
+@query("popular_key_having", "SELECT l_partkey, count(*) AS n FROM lineitem GROUP BY 1 HAVING count(*) >= 2 ORDER BY n DESC, l_partkey LIMIT 1")
+def _(t):
+    return t("lineitem").groupBy("l_partkey").agg(F.count(F.lit(1)).alias("n")).where("n >= 2").orderBy(F.desc("n"), "l_partkey").limit(1)
+
+
+@query("ordered_concat", "SELECT l_orderkey, string_agg(CAST(l_partkey AS VARCHAR), ' & ' ORDER BY l_linenumber, CAST(l_partkey AS VARCHAR)) AS parts FROM lineitem GROUP BY 1")
+def _(t):
+    return t("lineitem").groupBy("l_orderkey").agg(O.ordered_concat("l_partkey", "l_linenumber", " & ").alias("parts"))
+
+
+@query("children_counted", "SELECT c_custkey, count(o_orderkey) AS orders FROM customer LEFT JOIN orders ON c_custkey = o_custkey GROUP BY 1")
+def _(t):
+    return t("customer").join(t("orders"), F.col("c_custkey") == F.col("o_custkey"), "left").groupBy("c_custkey").agg(F.count("o_orderkey").alias("orders"))
+
+
+@query("queue_age", f"SELECT event_type, coalesce(date_sub('hour', min(ts), {NOW}), -1) AS hours, count(*) AS n FROM events GROUP BY 1")
+def _(t):
+    return t("events").groupBy("event_type").agg(F.coalesce(F.expr(f"timestampdiff(HOUR, min(ts), {NOW})"), F.lit(-1)).alias("hours"), F.count(F.lit(1)).alias("n"))
+
+
+@query("latency_percentiles", "SELECT event_type, round(quantile_cont(value, 0.5), 4) AS p50, round(quantile_cont(value, 0.95), 4) AS p95, round(quantile_cont(value, 0.99), 4) AS p99 FROM events GROUP BY 1")
+def _(t):
+    return t("events").groupBy("event_type").agg(*[F.round(F.percentile("value", p), 4).alias(n) for p, n in ((0.5, "p50"), (0.95, "p95"), (0.99, "p99"))])
+
+
+@query("gap_report", "WITH d AS (SELECT DISTINCT CAST(o_custkey AS BIGINT) AS k FROM orders), b AS (SELECT min(k) AS lo, max(k) AS hi FROM d) SELECT k FROM (SELECT unnest(range(lo, hi + 1)) AS k FROM b) WHERE k NOT IN (SELECT k FROM d)")
+def _(t):
+    return O.gaps(t("orders").select(F.col("o_custkey").alias("k")), "k")
+
+
+@query("coverage_levels", """SELECT source, count(*) AS n, CAST(100 * count(*) FILTER (n_chars >= 500) // count(*) AS BIGINT) AS covered,
+ CASE WHEN 100 * count(*) FILTER (n_chars >= 500) // count(*) < 85 THEN 'FAIL' WHEN 100 * count(*) FILTER (n_chars >= 500) // count(*) < 93 THEN 'WARN' ELSE 'PASS' END AS level FROM documents GROUP BY source""")
+def _(t):
+    c = t("documents").groupBy("source").agg(F.count(F.lit(1)).alias("n"), F.expr("100 * count_if(n_chars >= 500) div count(1)").alias("covered"))
+    return c.withColumn("level", O.ordered_rules([(F.col("covered") < 85, "FAIL"), (F.col("covered") < 93, "WARN")], "PASS"))
+
+
+@query("mode_within_tolerance", "WITH m AS (SELECT p_brand, p_size, count(*) AS n FROM part GROUP BY ALL), b AS (SELECT p_brand, p_size AS usual FROM m QUALIFY row_number() OVER (PARTITION BY p_brand ORDER BY n DESC, p_size) = 1) SELECT p_brand, any_value(usual) AS usual, bool_and(abs(p_size - usual) <= 5) AS uniform FROM part JOIN b USING (p_brand) GROUP BY p_brand")
+def _(t):
+    m = t("part").groupBy("p_brand", "p_size").agg(F.count(F.lit(1)).alias("n"))
+    usual = O.top_k(m, ["p_brand"], [F.desc("n"), F.asc("p_size")], 1).select("p_brand", F.col("p_size").alias("usual"))
+    return t("part").join(usual, "p_brand").groupBy("p_brand").agg(F.first("usual").alias("usual"), F.bool_and(F.abs(F.col("p_size") - F.col("usual")) <= 5).alias("uniform"))
+
+
+@query("facet_counts", """WITH f AS (SELECT *, lang = 'en' AS fl, n_chars >= 1000 AS fs FROM documents)
+ SELECT 'lang' AS facet, lang AS value, count(*) AS n FROM f WHERE fs GROUP BY lang UNION ALL SELECT 'source', source, count(*) FROM f WHERE fl AND fs GROUP BY source""")
+def _(t):
+    d = t("documents").select("lang", "source", (F.col("lang") == "en").alias("fl"), (F.col("n_chars") >= 1000).alias("fs"))
+    # Each facet is counted under all other filters; one pass over the rows serves all of them.
+    cells = F.array(F.struct(F.lit("lang").alias("facet"), F.col("lang").alias("value"), F.col("fs").alias("on")), F.struct(F.lit("source").alias("facet"), F.col("source").alias("value"), (F.col("fl") & F.col("fs")).alias("on")))
+    return d.select(F.explode(cells).alias("c")).where("c.on").groupBy("c.facet", "c.value").agg(F.count(F.lit(1)).alias("n"))
+
+
+# ------------------------------------------------------------------------------------------------ joins and sets
+
+
+@query("orphan_orders", "SELECT o_orderkey FROM orders WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem WHERE l_returnflag = 'R')")
+def _(t):
+    return t("orders").join(t("lineitem").where("l_returnflag = 'R'").select(F.col("l_orderkey").alias("o_orderkey")), "o_orderkey", "left_anti").select("o_orderkey")
+
+
+@query("customers_with_orders", "SELECT c_custkey FROM customer WHERE EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_totalprice > 100000)")
+def _(t):
+    return t("customer").join(t("orders").where("o_totalprice > 100000"), F.col("c_custkey") == F.col("o_custkey"), "left_semi").select("c_custkey")
+
+
+@query("first_child", "SELECT l_orderkey, l_partkey AS first_part FROM lineitem QUALIFY row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey) = 1")
+def _(t):
+    return t("lineitem").groupBy("l_orderkey").agg(F.min_by("l_partkey", F.struct("l_linenumber", "l_partkey")).alias("first_part"))
+
+
+@query("eav_pivot", """WITH e AS (SELECT c_custkey AS k, 'Name' AS s, c_name AS v FROM customer UNION ALL SELECT c_custkey, 'segment', c_mktsegment FROM customer WHERE c_custkey % 3 <> 0)
+ SELECT k, max(v) FILTER (lower(s) = 'name') AS name, coalesce(max(v) FILTER (lower(s) = 'segment'), 'Type #' || k) AS segment FROM e GROUP BY k""")
+def _(t):
+    c = t("customer")
+    e = c.select(F.col("c_custkey").alias("k"), F.lit("Name").alias("s"), F.col("c_name").alias("v")).union(c.where("c_custkey % 3 != 0").select("c_custkey", F.lit("segment"), "c_mktsegment"))
+    return O.pivot_settings(e, "k", "s", "v", ["name", "segment"]).select("k", "name", F.coalesce("segment", F.concat(F.lit("Type #"), F.col("k"))).alias("segment"))
+
+
+@query("children_in_arrays", "SELECT o_custkey, string_agg(CAST(o_orderkey AS VARCHAR), ',' ORDER BY o_orderkey) AS orders FROM orders GROUP BY 1")
+def _(t):
+    return t("orders").groupBy("o_custkey").agg(F.array_join(F.array_sort(F.collect_list("o_orderkey")), ",").alias("orders"))
+
+
+@query("positional_diff", """WITH l AS (SELECT l_orderkey, l_partkey, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) AS place, count(*) OVER (PARTITION BY l_orderkey) AS size FROM lineitem WHERE l_returnflag <> 'A'),
+ r AS (SELECT l_orderkey, l_suppkey, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) AS place, count(*) OVER (PARTITION BY l_orderkey) AS size FROM lineitem WHERE l_linestatus <> 'F')
+ SELECT l_orderkey, place, l_partkey, l_suppkey FROM l JOIN r USING (l_orderkey, place, size)""")
+def _(t):
+    l = t("lineitem").withColumn("at", F.struct("l_linenumber", "l_partkey", "l_suppkey"))
+    left = l.where("l_returnflag != 'A'").select("l_orderkey", "at", "l_partkey")
+    right = l.where("l_linestatus != 'F'").select("l_orderkey", "at", "l_suppkey")
+    return O.positional(left, right, "l_orderkey", "at").select("l_orderkey", F.col("place").cast("long").alias("place"), "l_partkey", "l_suppkey")
+
+
+@query("three_way_compare", """SELECT o_orderkey, CASE WHEN a IS NULL AND b IS NULL THEN 'neither' WHEN b IS NULL THEN 'first_only' WHEN a IS NULL THEN 'second_only' WHEN a = b THEN 'agree' ELSE 'different' END AS verdict
+ FROM orders LEFT JOIN (SELECT l_orderkey AS o_orderkey, max(l_partkey) AS a FROM lineitem WHERE l_returnflag = 'R' GROUP BY 1) USING (o_orderkey) LEFT JOIN (SELECT l_orderkey AS o_orderkey, max(l_partkey) AS b FROM lineitem WHERE l_linestatus = 'F' GROUP BY 1) USING (o_orderkey)""")
+def _(t):
+    best = lambda cond: t("lineitem").where(cond).groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.max("l_partkey").alias("v"))
+    return R.three_way(t("orders"), best("l_returnflag = 'R'"), best("l_linestatus = 'F'"), "o_orderkey", "v")
+
+
+@query("union_of_sources", "SELECT c_custkey AS k FROM customer WHERE c_acctbal > 5000 UNION SELECT o_custkey FROM orders WHERE o_totalprice > 200000 UNION SELECT user_id FROM events WHERE event_type = 'purchase'")
+def _(t):
+    one, two = t("customer").where("c_acctbal > 5000").select(F.col("c_custkey").alias("k")), t("orders").where("o_totalprice > 200000").select(F.col("o_custkey").alias("k"))
+    return one.unionByName(two).unionByName(t("events").where("event_type = 'purchase'").select(F.col("user_id").alias("k"))).distinct()
+
+
+@query("id_collisions", "SELECT c_custkey AS k FROM customer INTERSECT SELECT p_partkey FROM part WHERE p_size > 40")
+def _(t):
+    return t("customer").select(F.col("c_custkey").alias("k")).intersect(t("part").where("p_size > 40").select(F.col("p_partkey").alias("k")))
+
+
+@query("page_with_total", "SELECT o_orderkey, o_totalprice, (SELECT count(*) FROM orders) AS total FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 50 OFFSET 100")
+def _(t):
+    return O.page(t("orders").select("o_orderkey", "o_totalprice"), [F.desc("o_totalprice"), F.asc("o_orderkey")], 100, 50)
+
+
+@query("sampled_documents")
+def _(t):
+    return O.hashed_sample(t("documents").select("doc_id", "n_chars"), "doc_id", 50)
+
+
+# ------------------------------------------------------------------------------------------------ membership
+
+
+def _members(t):
+    orders = t("orders")
+    direct = orders.where("o_orderstatus = 'P'").select(F.col("o_custkey").alias("user_id"), F.lit("plan").alias("type"), F.col("o_orderdate").alias("date_start"), F.when(F.col("o_orderpriority") != "1-URGENT", F.expr("o_orderdate + INTERVAL 365 DAYS")).alias("date_end"))
+    bought = orders.where("o_totalprice > 150000").select(F.col("o_custkey").alias("user_id"), F.lit("purchase").alias("type"), F.col("o_orderdate").alias("date_start"), F.expr("o_orderdate + INTERVAL 90 DAYS").alias("date_end"))
+    return direct, bought
+
+
+ENTITLED = """WITH s AS (SELECT o_custkey AS user_id, 'plan' AS type, 0 AS p, o_orderdate AS ds, CASE WHEN o_orderpriority <> '1-URGENT' THEN o_orderdate + INTERVAL 365 DAYS END AS de FROM orders WHERE o_orderstatus = 'P'
+ UNION ALL SELECT o_custkey, 'purchase', 1, o_orderdate, o_orderdate + INTERVAL 90 DAYS FROM orders WHERE o_totalprice > 150000),
+ e AS (SELECT user_id, min_by(type, p) AS type, CAST(min(ds) AS DATE) AS date_start, CAST(CASE WHEN bool_or(de IS NULL) THEN NULL ELSE max(de) END AS DATE) AS date_end FROM s GROUP BY user_id)"""
+
+
+@query("entitlement_union", ENTITLED + " SELECT user_id, type, CAST(date_start AS VARCHAR) AS date_start, CAST(date_end AS VARCHAR) AS date_end FROM e")
+def _(t):
+    e = R.entitlements(_members(t))
+    return e.select("user_id", "type", F.date_format("date_start", "yyyy-MM-dd").alias("date_start"), F.date_format("date_end", "yyyy-MM-dd").alias("date_end"))
+
+
+@query("drift_missing", ENTITLED + " SELECT lower(c_name) AS email FROM e JOIN customer ON c_custkey = user_id WHERE lower(c_name) NOT IN (SELECT lower(c_name) FROM customer WHERE c_acctbal > 0)")
+def _(t):
+    c = t("customer").select(F.col("c_custkey").alias("user_id"), F.col("c_name").alias("email"), "c_acctbal")
+    return R.missing_access(R.entitlements(_members(t)).join(c, "user_id").select("email"), c.where("c_acctbal > 0"))
+
+
+@query("drift_stale", ENTITLED + """, r AS (SELECT user_id, bool_or(event_type <> 'error') AS a FROM events GROUP BY 1)
+ SELECT c_custkey AS user_id FROM customer LEFT JOIN r ON r.user_id = c_custkey WHERE c_custkey NOT IN (SELECT user_id FROM e) AND coalesce(a, true)""")
+def _(t):
+    remote = t("events").select("user_id", (F.col("event_type") != "error").alias("is_active"))
+    return R.stale_access(t("customer").select(F.col("c_custkey").alias("user_id")), R.entitlements(_members(t)), remote)
+
+
+@query("monotone_upsert", f"""WITH s AS (SELECT o_custkey AS key, max(o_orderstatus) AS type, CASE WHEN bool_or(o_orderpriority = '5-LOW') THEN NULL ELSE max(o_orderdate) END AS de FROM orders WHERE o_orderkey % 2 = 0 GROUP BY 1),
+ n AS (SELECT o_custkey AS key, min(o_orderstatus) AS type, CASE WHEN bool_or(o_orderpriority = '1-URGENT') THEN NULL ELSE max(o_orderdate) END AS de FROM orders WHERE o_orderkey % 2 = 1 GROUP BY 1)
+ SELECT key, CASE WHEN n.key IS NOT NULL THEN n.type ELSE s.type END AS type, CAST(CAST(CASE WHEN n.key IS NULL THEN s.de WHEN s.key IS NULL OR NOT (s.de IS NULL OR s.de > TIMESTAMP '1997-01-01 00:00:00') THEN n.de WHEN s.de IS NULL OR n.de IS NULL THEN NULL ELSE greatest(s.de, n.de) END AS DATE) AS VARCHAR) AS date_end
+ FROM s FULL JOIN n USING (key)""")
+def _(t):
+    def half(cond, agg, forever):
+        end = F.when(F.bool_or(F.col("o_orderpriority") == forever), None).otherwise(F.max("o_orderdate"))
+        return t("orders").where(cond).groupBy(F.col("o_custkey").alias("key")).agg(agg("o_orderstatus").alias("type"), end.alias("date_end"))
+
+    out = R.monotone_upsert(half("o_orderkey % 2 = 0", F.max, "5-LOW"), half("o_orderkey % 2 = 1", F.min, "1-URGENT"), F.expr("TIMESTAMP '1997-01-01 00:00:00'"))
+    return out.select("key", "type", F.date_format("date_end", "yyyy-MM-dd").alias("date_end"))
+
+
+@query("plain_upsert", "SELECT key, coalesce(n.v, s.v) AS v FROM (SELECT c_custkey AS key, c_name AS v FROM customer WHERE c_custkey % 2 = 0) s FULL JOIN (SELECT c_custkey AS key, upper(c_mktsegment) AS v FROM customer WHERE c_custkey % 3 = 0) n USING (key)")
+def _(t):
+    c = t("customer")
+    return R.merged(c.where("c_custkey % 2 = 0").select(F.col("c_custkey").alias("key"), F.col("c_name").alias("v")), c.where("c_custkey % 3 = 0").select(F.col("c_custkey").alias("key"), F.upper("c_mktsegment").alias("v")), ["key"])
+
+
+@query("metadata_diff", """WITH n AS (SELECT o_orderkey, CASE WHEN o_orderkey % 5 = 0 THEN 'X' ELSE o_orderstatus END AS o_orderstatus, CASE WHEN o_orderkey % 7 = 0 THEN NULL ELSE o_orderpriority END AS o_orderpriority FROM orders)
+ SELECT o_orderkey, 'o_orderstatus' AS field, o.o_orderstatus AS old, n.o_orderstatus AS new FROM orders o JOIN n USING (o_orderkey) WHERE o.o_orderstatus IS DISTINCT FROM n.o_orderstatus
+ UNION ALL SELECT o_orderkey, 'o_orderpriority', o.o_orderpriority, n.o_orderpriority FROM orders o JOIN n USING (o_orderkey) WHERE o.o_orderpriority IS DISTINCT FROM n.o_orderpriority""")
+def _(t):
+    o = t("orders")
+    n = o.select("o_orderkey", F.when(F.col("o_orderkey") % 5 == 0, "X").otherwise(F.col("o_orderstatus")).alias("o_orderstatus"), F.when(F.col("o_orderkey") % 7 != 0, F.col("o_orderpriority")).alias("o_orderpriority"))
+    return R.field_diff(o, n, "o_orderkey", ["o_orderstatus", "o_orderpriority"])
+
+
+@query("retention", f"SELECT event_id FROM events WHERE NOT (ts < {NOW} - INTERVAL 10 DAYS)")
+def _(t):
+    return R.retained(t("events"), "ts", F.expr(NOW), 10).select("event_id")
+
+
+@query("message_decision", "SELECT c_custkey, CASE WHEN c_acctbal > 9000 THEN 'admin' WHEN c_custkey IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'P') THEN 'synced' WHEN c_custkey IN (SELECT user_id FROM events WHERE event_type = 'signup') THEN 'subscriber' WHEN c_custkey IN (SELECT o_custkey FROM orders) THEN 'purchaser' ELSE 'none' END AS message FROM customer")
+def _(t):
+    flag = lambda df, col, name: df.select(F.col(col).alias("c_custkey")).distinct().withColumn(name, F.lit(True))
+    c = t("customer").join(flag(t("orders").where("o_orderstatus = 'P'"), "o_custkey", "a"), "c_custkey", "left").join(flag(t("events").where("event_type = 'signup'"), "user_id", "b"), "c_custkey", "left").join(flag(t("orders"), "o_custkey", "c"), "c_custkey", "left")
+    return c.select("c_custkey", O.ordered_rules([(F.col("c_acctbal") > 9000, "admin"), (F.col("a"), "synced"), (F.col("b"), "subscriber"), (F.col("c"), "purchaser")], "none").alias("message"))
+
+
+# ------------------------------------------------------------------------------------------------ text
+
+
+@query("title_keys", "SELECT doc_id, md5(trim(regexp_replace(regexp_replace(regexp_replace(lower(text), '&', ' and ', 'g'), '[^a-z0-9 ]', ' ', 'g'), ' +', ' ', 'g'))) AS title, md5(trim(regexp_replace(regexp_replace(lower(text), '[^a-z0-9 ]', '', 'g'), ' +', ' ', 'g'))) AS squashed FROM documents")
+def _(t):
+    return t("documents").select("doc_id", F.md5(X.title_key(F.col("text"))).alias("title"), F.md5(X.squash(F.col("text"))).alias("squashed"))
+
+
+@query("slugs", "SELECT item_id, regexp_replace(left(regexp_replace(regexp_replace(lower(text), '[^a-z0-9]+', '-', 'g'), '^-|-$', '', 'g'), 80), '-$', '') AS slug FROM benchmark")
+def _(t):
+    return t("benchmark").select("item_id", X.slug(F.col("text")).alias("slug"))
+
+
+@query("title_overlap", """WITH k AS (SELECT item_id, string_split(trim(regexp_replace(regexp_replace(lower(text), '[^a-z0-9 ]', ' ', 'g'), ' +', ' ', 'g')), ' ') AS w FROM benchmark)
+ SELECT a.item_id AS a, b.item_id AS b, round(len(list_intersect(a.w, b.w)) / greatest(len(a.w), len(b.w)), 6) AS share FROM k a JOIN k b ON b.item_id = a.item_id + 1""")
+def _(t):
+    k = t("benchmark").select("item_id", F.split(X.title_key(F.col("text")), " ").alias("w"))
+    a, b = k.select(F.col("item_id").alias("a"), F.col("w").alias("wa")), k.select((F.col("item_id") - 1).alias("a"), F.col("item_id").alias("b"), F.col("w").alias("wb"))
+    return a.join(b, "a").select("a", "b", F.round(F.size(F.array_intersect("wa", "wb")) / F.greatest(F.size("wa"), F.size("wb")), 6).alias("share"))
+
+
+@query("truncated_texts", "SELECT doc_id, md5(CASE WHEN length(text) > 1000 THEN left(text, 1000) || '...[truncated]' ELSE text END) AS cut FROM documents")
+def _(t):
+    return t("documents").select("doc_id", F.md5(X.truncated(F.col("text"))).alias("cut"))
+
+
+@query("cidr_match", "SELECT event_id, user_id % 256 BETWEEN 16 AND 31 AS inside FROM events")
+def _(t):
+    ip = F.concat(F.lit("10.0.7."), (F.col("user_id") % 256).cast("string"))
+    return t("events").select("event_id", X.in_cidr(ip, "10.0.7.16/28").alias("inside"))
+
+
+@query("doi_in_text", "SELECT o_orderkey, '10.' || (1000 + o_custkey) || '/o.' || o_orderkey AS doi FROM orders")
+def _(t):
+    ref = F.concat(F.lit("Doe, J. (1999). Title. https://doi.org/10."), (1000 + F.col("o_custkey")).cast("string"), F.lit("/o."), F.col("o_orderkey").cast("string"), F.lit("]). See"))
+    return t("orders").select("o_orderkey", X.first_doi(ref).alias("doi"))
+
+
+@query("person_names", "SELECT s_suppkey, split_part(s_name, '#', 1) AS family FROM supplier")
+def _(t):
+    name = F.concat(F.lit("Ann B. "), F.split_part(F.col("s_name"), F.lit("#"), F.lit(1)))
+    return t("supplier").select("s_suppkey", X.person(name)["family"].alias("family"))
+
+
+@query("page_text")
+def _(t):
+    return t("pages").select("page_id", F.char_length(X.stripped_tags(F.col("html"))).alias("chars"), F.md5(X.stripped_tags(F.col("html"))).alias("digest"))
+
+
+@query("link_classes")
+def _(t):
+    links = t("pages").select("page_id", F.explode(F.regexp_extract_all("html", F.lit("href=\"([^\"]*)\""), F.lit(1))).alias("href"))
+    return links.withColumn("class", X.link_class(F.col("href"))).groupBy("class").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("validation_report", """WITH e AS (SELECT doc_id, unnest([CASE WHEN text IS NULL OR trim(text) = '' THEN 'text missing' END, CASE WHEN lang NOT IN ('en', 'de', 'fr') THEN 'unknown lang' END,
+ CASE WHEN n_chars < 300 THEN 'too short' END, CASE WHEN n_chars <> length(text) THEN 'wrong n_chars' END]) AS problem FROM documents)
+ SELECT problem, count(*) AS n FROM e WHERE problem IS NOT NULL GROUP BY problem""")
+def _(t):
+    rules = [(F.col("text").isNull() | (F.trim("text") == ""), "text missing"), (~F.col("lang").isin("en", "de", "fr"), "unknown lang"), (F.col("n_chars") < 300, "too short"), (F.col("n_chars") != F.char_length("text"), "wrong n_chars")]
+    problems = F.array_compact(F.array(*[F.when(c, m) for c, m in rules]))
+    return t("documents").select(F.explode(problems).alias("problem")).groupBy("problem").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("anonymised", "SELECT c_custkey, 'deleted-user-' || c_custkey || '@example.org' AS email FROM customer")
+def _(t):
+    return t("customer").select("c_custkey", F.concat(F.lit("deleted-user-"), F.col("c_custkey").cast("string"), F.lit("@example.org")).alias("email"))
