@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lectern.llm import bpe, decontaminate, fingerprints, jaccard, lines, pii, quality, substrings, toxicity
+from lectern.llm import bpe, decontaminate, fingerprints, jaccard, lines, pii, quality, substrings, suffixes, toxicity
 from lectern.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -27,6 +27,10 @@ def op1_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.digests(substrings.dedup(table(spark, sf_dir, "documents")))
 
 
+def op2_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.digests(suffixes.dedup(table(spark, sf_dir, "documents")))
+
+
 def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = pii.spans(table(spark, sf_dir, "documents"))
     return found.select("doc_id", "n_email", "n_ip", "n_card", "n_phone", F.sha2("base", 256).alias("base_sha256"), "spans")
@@ -62,7 +66,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_substrings, op3_pii, op4_lines, op5_jaccard, op6_fingerprints, op7_decontaminate, op8_quality, op9_bpe, op10_toxicity)}
+    return {f.__name__: f for f in (op1_substrings, op2_suffixes, op3_pii, op4_lines, op5_jaccard, op6_fingerprints, op7_decontaminate, op8_quality, op9_bpe, op10_toxicity)}
 
 
 def oracle_sql() -> dict[str, str]:
