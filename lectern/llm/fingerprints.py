@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from lectern.llm.common import clean, figures, range_bounds, range_of
+from lectern.llm.common import BROADCAST_ROWS, clean, figures, range_bounds, range_of, stored
 
 LEAF, SECTION = 60, 8
 #: UTF-8 bytes of text in a range of ids whose rows are ordered together.
@@ -65,15 +65,17 @@ def with_next(docs: DataFrame) -> DataFrame:
     _, size = figures(docs.select("id", "text"))
     bounds = range_bounds(docs.select("id"), max(12, -(-size // RANGE_BYTES)))
     parts = max(len(bounds) + 1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    # One more column breaks ties of rows without an id, which come last.
-    rows = docs.select(range_of(bounds, F.col("id")).alias("range"), "id", "text", "print").repartition(parts, "range")
-    order = Window.partitionBy("range").orderBy(F.col("id").asc_nulls_last(), F.col("text").asc_nulls_first())
-    ordered = rows.select("range", "id", "text", "print", F.lead(F.struct("text", "print")).over(order).alias("follow"), F.row_number().over(order).alias("nth"))
-    heads = ordered.where("nth = 1").select("range", F.struct("text", "print").alias("head"))
-    # Ranges are few; each learns the first row of the range after it.
+    rows = docs.select(range_of(bounds, F.col("id")).alias("range"), "id", "text", "print")
+    # Ranges are few; the first row of each is dealt to the range before it too, where it follows the last row.
+    heads = docs.select(range_of(bounds, F.col("id")).alias("range"), "id").groupBy("range").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id"))["id"].alias("head"))
     turn = Window.orderBy("range")
-    heads = heads.select("range", F.coalesce(F.lead("head").over(turn), F.first("head").over(turn)).alias("turn"))
-    return ordered.join(heads, "range").select("id", "text", "print", F.coalesce("follow", "turn").alias("next"))
+    heads = stored(heads.select("range", "head", F.coalesce(F.lag("range").over(turn), F.max("range").over(turn.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))).alias("prior")), "heads")
+    heads = F.broadcast(heads) if len(bounds) < BROADCAST_ROWS else heads
+    rows = rows.join(heads, "range")
+    places = F.when(F.col("id").eqNullSafe(F.col("head")), F.array(F.struct("range", F.lit(0).alias("guest")), F.struct(F.col("prior").alias("range"), F.lit(1).alias("guest")))).otherwise(F.array(F.struct("range", F.lit(0).alias("guest"))))
+    rows = rows.select(F.explode(places).alias("at"), "id", "text", "print").select("at.range", "at.guest", "id", "text", "print").repartition(parts, "range")
+    order = Window.partitionBy("range").orderBy("guest", F.col("id").asc_nulls_last(), F.col("text").asc_nulls_first())
+    return rows.withColumn("next", F.lead(F.struct("text", "print")).over(order)).where("guest = 0").select("id", "text", "print", "next")
 
 
 def edited(text: Column, next_: Column) -> Column:
