@@ -22,7 +22,7 @@ from lectern.llm.hashing import by_bucket, covered, prefix_sums, runs, substring
 
 SIZE, GRAM = 50, 24
 #: Segments of an anchor are put into texts of about so many bytes; equal strings of several texts meet by their bytes.
-TEXT_BYTES, LOT_BYTES = 600, 1_500_000
+TEXT_BYTES, LOT_BYTES = 600, 300_000
 ANCHOR_BITS = 48
 
 
@@ -88,7 +88,8 @@ def rank_of(ids: np.ndarray) -> np.ndarray:
 def classes(anchor: np.ndarray, lens: np.ndarray, data: np.ndarray, owner: np.ndarray, size: int = SIZE) -> list[np.ndarray]:
     """For each segment, the smallest owner of each of its strings among all segments with the same anchor.
 
-    Equal segments are one from here on. Arrays are by segment; data holds their bytes end to end.
+    Equal segments are one from here on, and an anchor with one segment has nothing to put in order: all its strings have
+    its owner. Arrays are by segment; data holds their bytes end to end.
     """
     offset = np.cumsum(lens) - lens
     keys: dict[tuple[int, bytes], int] = {}
@@ -97,7 +98,10 @@ def classes(anchor: np.ndarray, lens: np.ndarray, data: np.ndarray, owner: np.nd
     least = np.full(len(keys), np.iinfo(np.int64).max)
     np.minimum.at(least, same, owner)
     parts = list(keys)
-    order = sorted(range(len(parts)), key=lambda k: parts[k][0])
+    times: dict[int, int] = {}
+    for a, _ in parts:
+        times[a] = times.get(a, 0) + 1
+    order = sorted((k for k in range(len(parts)) if times[parts[k][0]] > 1), key=lambda k: parts[k][0])
     # Texts: segments of one anchor up to about TEXT_BYTES, each followed by a 1, the last by a 0 (bytes are 2 to 257).
     texts, held, total = [], [], 0
     for k in order:
