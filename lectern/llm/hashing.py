@@ -35,7 +35,7 @@ class Powers:
 
     def upto(self, n: int) -> tuple[np.ndarray, np.ndarray]:
         if len(self.up) < n:
-            n = max(n, 1 << 20)
+            n = max(n, 1 << 19)
             step = np.full(n, BASE, np.uint64)
             step[0] = 1
             self.up = np.multiply.accumulate(step)

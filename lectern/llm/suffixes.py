@@ -24,6 +24,8 @@ SIZE, GRAM = 50, 24
 #: Segments of an anchor are put into texts of about so many bytes; equal strings of several texts meet by their bytes.
 TEXT_BYTES, LOT_BYTES = 600, 300_000
 ANCHOR_BITS = 48
+#: Bytes of text whose strings are hashed together, and buckets for each chunk: both bound the memory of a task.
+SLICE, BUCKETS = 500_000, 4
 
 
 def sliding_least(v: np.ndarray, w: int) -> np.ndarray:
@@ -183,14 +185,14 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     """
     parts = chunked(docs, id_col, text_col)
     known = stored(answered(gathered(parts, anchors, ANCHOR_BITS), smaller=False), "anchors")
-    buckets = parts.chunks
+    buckets = BUCKETS * parts.chunks
 
     def send(key: tuple, rows: pa.Table, found: pa.Table) -> pa.Table:
         texts, ids = texts_of(rows)
         chunk = int(key[0].as_py() if hasattr(key[0], "as_py") else key[0])
         rank = rank_of(ids)
         elsewhere = together(found.column("blob").to_pylist())
-        cut = slices(texts)
+        cut = slices(texts, SLICE)
         hashes = [Segments(texts[a:b]) for a, b in cut] if len(cut) == 1 else None
         # Anchors of two documents of this chunk: by the first and last document of each.
         every, owner = [], []
@@ -264,7 +266,7 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
         order = np.argsort(names, kind="stable")
         names, offset = names[order], offset[order]
         n_bytes, n_gone, spans, kept = [], [], [], []
-        for a, b in slices(texts):
+        for a, b in slices(texts, SLICE):
             s = Segments(texts[a:b])
             gone = np.zeros(len(s.data), bool)
             if len(names) and len(s.start):
