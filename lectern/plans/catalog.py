@@ -8,10 +8,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from lectern.functions import names as N
 from lectern.functions import text as X
+from lectern.operators import matching as M
 from lectern.operators import reconcile as R
 from lectern.operators import rows as O
+from lectern.operators import sequences as S
 from lectern.operators import similarity as V
+from lectern.sources import readers
+from lectern.streaming import latency
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -413,3 +418,88 @@ def _(t):
 @query("anonymised", "SELECT c_custkey, 'deleted-user-' || c_custkey || '@example.org' AS email FROM customer")
 def _(t):
     return t("customer").select("c_custkey", F.concat(F.lit("deleted-user-"), F.col("c_custkey").cast("string"), F.lit("@example.org")).alias("email"))
+
+
+# ------------------------------------------------------------------------------------------------ matching and sequences
+
+
+@query("registry_match")
+def _(t):
+    spelt = F.when(F.col("c_custkey") % 3 == 0, F.col("n_name")).when(F.col("c_custkey") % 3 == 1, F.expr("left(n_name, length(n_name) - 1)")).otherwise(F.reverse("n_name"))
+    names = t("customer").join(t("nation"), F.col("c_nationkey") == F.col("n_nationkey")).select(spelt.alias("name"))
+    return M.registry_match(names, t("nation").select(F.col("n_name").alias("canonical"))).drop("candidates")
+
+
+@query("one_to_one_titles")
+def _(t):
+    o = t("orders").select(F.col("o_orderkey").alias("id"), F.col("o_custkey").alias("scope"), F.col("o_orderpriority").alias("title"), F.col("o_orderstatus").alias("author"))
+    return M.one_to_one(o.where("id % 2 = 0"), o.where("id % 2 = 1"))
+
+
+@query("contained_turns", """SELECT a.turn AS left_id, b.turn AS right_id, a.conv_id FROM (SELECT conv_id, turn, left(text, 12) AS text FROM conversations) a JOIN conversations b USING (conv_id)
+ WHERE a.text <> '' AND b.text <> '' AND (contains(b.text, a.text) OR contains(a.text, b.text))""")
+def _(t):
+    c = t("conversations").select("conv_id", F.col("turn").alias("id"), "text")
+    return M.contained(c.withColumn("text", F.substring("text", 1, 12)), c, "conv_id")
+
+
+@query("prefix_verified", """WITH r AS (SELECT lang, source, max(text) AS text FROM documents WHERE text IS NOT NULL GROUP BY ALL), w AS (SELECT lang, source, r.text, min(doc_id) AS twin FROM r JOIN documents d USING (lang, source) WHERE d.text = r.text GROUP BY ALL)
+ SELECT d.doc_id, w.twin FROM documents d JOIN w USING (lang, source) WHERE left(coalesce(d.text, ''), 20) = left(w.text, 20) OR coalesce(d.text, '') = '' OR w.text = ''""")
+def _(t):
+    d = t("documents").select("doc_id", "lang", "source", "text")
+    right = d.where("text is not null").groupBy("lang", "source", "text").agg(F.min("doc_id").alias("twin"))
+    return M.prefix_verified(d, right, ["lang", "source"], "text").select("doc_id", "twin")
+
+
+@query("back_matter_rows", """WITH f AS (SELECT *, event_type = 'purchase' AS b, max(CASE WHEN event_type = 'purchase' THEN event_id END) OVER (PARTITION BY user_id) AS last FROM events),
+ g AS (SELECT *, max(CASE WHEN NOT b AND event_id < last THEN event_id END) OVER (PARTITION BY user_id) AS stop FROM f) SELECT user_id, event_id FROM g WHERE last IS NOT NULL AND (stop IS NULL OR event_id > stop)""")
+def _(t):
+    return S.back_matter(t("events").select("user_id", "event_id", "event_type"), "user_id", "event_id", F.col("event_type") == "purchase").select("user_id", "event_id")
+
+
+@query("style_runs", """WITH f AS (SELECT user_id, event_id, event_type, CASE WHEN lag(event_type) OVER w = event_type THEN 0 ELSE 1 END AS n FROM events WINDOW w AS (PARTITION BY user_id ORDER BY event_id)),
+ r AS (SELECT *, sum(n) OVER (PARTITION BY user_id ORDER BY event_id) AS run FROM f)
+ SELECT user_id, event_type, min(event_id) AS first, count(*) AS n, string_agg(CAST(event_id AS VARCHAR), ' ' ORDER BY event_id) AS text FROM r GROUP BY user_id, run, event_type""")
+def _(t):
+    e = t("events").select("user_id", "event_id", "event_type", F.col("event_id").cast("string").alias("said"))
+    return S.merged_runs(e, "user_id", "event_id", "event_type", "said", " ")
+
+
+@query("page_margins")
+def _(t):
+    found = S.margins(t("lineitem"), "l_suppkey", "l_quantity", "l_extendedprice")
+    return found.select("l_suppkey", F.array_join(F.transform("margins", lambda m: m.cast("string")), " ").alias("margins"), "right")
+
+
+@query("numbered_notes")
+def _(t):
+    lines = F.split("text", "\n")
+    found = S.numbered_items(F.transform(lines, lambda x, i: F.concat((i + 1).cast("string"), F.lit(" "), x)))
+    return t("documents").select("doc_id", F.size(found).alias("items"))
+
+
+@query("content_signatures", """SELECT doc_id, md5(regexp_replace(lower(text), '[^0-9a-z]', '', 'g')) AS signature FROM documents""")
+def _(t):
+    return t("documents").select("doc_id", F.md5(S.signature(F.col("text"))).alias("signature"))
+
+
+@query("family_names", "SELECT s_suppkey, 'van ' || lower(s_name) AS family, 'j' AS initial FROM supplier")
+def _(t):
+    name = F.concat(F.lit("Jan  Van "), F.col("s_name"))
+    return t("supplier").select("s_suppkey", N.family_name(name).alias("family"), N.initial(name).alias("initial"))
+
+
+@query("first_source_wins", "SELECT l_orderkey, l_linenumber, min(l_partkey) AS path FROM lineitem GROUP BY 1, 2")
+def _(t):
+    return readers.first_by_key(t("lineitem").select("l_orderkey", "l_linenumber", F.col("l_partkey").alias("path")), ["l_orderkey", "l_linenumber"])
+
+
+@query("json_rows", """SELECT '{"o_orderkey":' || o_orderkey || ',"o_orderstatus":"' || o_orderstatus || '"}' AS json FROM orders""")
+def _(t):
+    return readers.json_rows(t("orders").select("o_orderkey", "o_orderstatus"))
+
+
+@query("latency_windows", "SELECT strftime(time_bucket(INTERVAL 1 HOUR, ts), '%Y-%m-%d %H:%M:%S') AS start, count(*) AS n, round(avg(value), 4) AS mean FROM events GROUP BY 1")
+def _(t):
+    found = latency.latency_windows(t("events"), "ts", "value", 3600)
+    return found.select(F.date_format("start", "yyyy-MM-dd HH:mm:ss").alias("start"), "n", F.round("mean", 4).alias("mean"))
