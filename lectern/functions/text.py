@@ -17,8 +17,8 @@ def match_key(c: Column) -> Column:
 
 
 def title_key(c: Column) -> Column:
-    """`&` spelt out, punctuation gone, blanks collapsed, lower case."""
-    return F.trim(F.regexp_replace(F.regexp_replace(F.regexp_replace(F.lower(c), "&", " and "), "[^a-z0-9 ]", " "), " +", " "))
+    """`&` spelt out, all but letters, digits and underscores dropped, blanks collapsed, lower case."""
+    return F.trim(F.regexp_replace(F.regexp_replace(F.replace(F.lower(c), F.lit("&"), F.lit("and")), r"[^\p{L}\p{N}_\s]", ""), r"\s+", " "))
 
 
 def slug(c: Column, most: int = 80) -> Column:
@@ -42,12 +42,11 @@ def word_overlap(a: Column, b: Column) -> Column:
     return F.when(F.size(wa) == 0, None).when(F.contains(b, a), 1.0).otherwise(hit / F.size(wa))
 
 
-def title_similarity(a: Column, b: Column) -> Column:
-    """Of two title keys: containment 1, else distinct common words by the words of the longer list, halved for a lone word."""
-    wa, wb = F.split(a, " "), F.split(b, " ")
-    common = F.size(F.array_intersect(wa, wb)) / F.greatest(F.size(wa), F.size(wb))
-    raw = F.when(F.contains(a, b) | F.contains(b, a), 1.0).otherwise(common)
-    return F.when((a == "") | (b == ""), 0.0).when(F.least(F.size(wa), F.size(wb)) < 2, raw * 0.5).otherwise(raw)
+def title_similarity(title: Column, text: Column) -> Column:
+    """Of two title keys: 1 if the text holds a title of two words or more, else the title's distinct words that it has by all the title's words, halved for a lone word."""
+    w = F.split(title, " ")
+    share = F.size(F.array_intersect(w, F.split(text, " "))) / F.size(w)
+    return F.when((title == "") | (text == ""), 0.0).when(F.size(w) < 2, share * 0.5).when(F.contains(text, title), 1.0).otherwise(share)
 
 
 def sentence_count(c: Column) -> Column:

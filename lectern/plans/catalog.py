@@ -8,8 +8,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from lectern.functions import citations as C
 from lectern.functions import names as N
 from lectern.functions import text as X
+from lectern.operators import identifiers as D
 from lectern.operators import matching as M
 from lectern.operators import reconcile as R
 from lectern.operators import rows as O
@@ -354,7 +356,7 @@ def _(t):
 # ------------------------------------------------------------------------------------------------ text
 
 
-@query("title_keys", "SELECT doc_id, md5(trim(regexp_replace(regexp_replace(regexp_replace(lower(text), '&', ' and ', 'g'), '[^a-z0-9 ]', ' ', 'g'), ' +', ' ', 'g'))) AS title, md5(trim(regexp_replace(regexp_replace(lower(text), '[^a-z0-9 ]', '', 'g'), ' +', ' ', 'g'))) AS squashed FROM documents")
+@query("title_keys", "SELECT doc_id, md5(trim(regexp_replace(regexp_replace(replace(lower(text), '&', 'and'), '[^\\p{L}\\p{N}_\\s]', '', 'g'), '\\s+', ' ', 'g'))) AS title, md5(trim(regexp_replace(regexp_replace(lower(text), '[^a-z0-9 ]', '', 'g'), ' +', ' ', 'g'))) AS squashed FROM documents")
 def _(t):
     return t("documents").select("doc_id", F.md5(X.title_key(F.col("text"))).alias("title"), F.md5(X.squash(F.col("text"))).alias("squashed"))
 
@@ -364,7 +366,7 @@ def _(t):
     return t("benchmark").select("item_id", X.slug(F.col("text")).alias("slug"))
 
 
-@query("title_overlap", """WITH k AS (SELECT item_id, string_split(trim(regexp_replace(regexp_replace(lower(text), '[^a-z0-9 ]', ' ', 'g'), ' +', ' ', 'g')), ' ') AS w FROM benchmark)
+@query("title_overlap", """WITH k AS (SELECT item_id, string_split(trim(regexp_replace(regexp_replace(replace(lower(text), '&', 'and'), '[^\\p{L}\\p{N}_\\s]', '', 'g'), '\\s+', ' ', 'g')), ' ') AS w FROM benchmark)
  SELECT a.item_id AS a, b.item_id AS b, round(len(list_intersect(a.w, b.w)) / greatest(len(a.w), len(b.w)), 6) AS share FROM k a JOIN k b ON b.item_id = a.item_id + 1""")
 def _(t):
     k = t("benchmark").select("item_id", F.split(X.title_key(F.col("text")), " ").alias("w"))
@@ -503,3 +505,77 @@ def _(t):
 def _(t):
     found = latency.latency_windows(t("events"), "ts", "value", 3600)
     return found.select(F.date_format("start", "yyyy-MM-dd HH:mm:ss").alias("start"), "n", F.round("mean", 4).alias("mean"))
+
+
+# ------------------------------------------------------------------------------------------------ citations, identifiers
+
+SIGNALS = rf"""regexp_matches(text, '{C.YEAR}') AS year, regexp_matches(text, '[A-Z][a-zà-ü]+,?\s') AS author, regexp_matches(text, '{C.PUBLISHERS}', 'i') AS publisher,
+ regexp_matches(text, '{C.JOURNALS}', 'i') AS journal, regexp_matches(text, '\b\d+[-–]\d+\b') AS pages, regexp_matches(text, 'doi[:\s]|10\.\d{{4,}}/', 'i') AS doi, regexp_matches(text, 'https?://') AS url"""
+#: References made of parts: some with a journal, some with a publisher, some in a book.
+PART_REFS = """concat('Holm, K. (', 1980 + p_partkey % 40, '). ', p_name, '. ', CASE p_partkey % 3 WHEN 0 THEN 'Journal of Care, 12 (3).' WHEN 1 THEN 'London: Sage.' ELSE 'In Marrow, T. Rooms. London: Sage.' END)"""
+#: What a lookup may say of them.
+LOOKUPS = f"""SELECT p_partkey AS ref_id, {PART_REFS} AS text, CASE WHEN p_partkey % 2 = 0 THEN p_name ELSE concat(p_name, ' and more') END AS title,
+ CASE p_partkey % 5 WHEN 0 THEN 'Journal of Care' WHEN 1 THEN 'Biologicals' WHEN 2 THEN 'Handbook of Rooms' ELSE '' END AS container,
+ CASE p_partkey % 4 WHEN 0 THEN 'journal-article' WHEN 1 THEN 'book-chapter' WHEN 2 THEN 'book' ELSE 'dataset' END AS kind, p_partkey * 7 % 100 AS score, p_partkey % 7 AS who FROM part"""
+
+
+@query("citation_signals", f"SELECT doc_id, {SIGNALS} FROM documents")
+def _(t):
+    return t("documents").select("doc_id", C.citation_signals(F.col("text")).alias("s")).select("doc_id", "s.*")
+
+
+@query("author_contacts", rf"""SELECT doc_id, regexp_matches(text, '{C.CONTACTS[0]}', 'i') OR regexp_matches(text, '{C.CONTACTS[1]}', 'i') OR regexp_matches(text, '{C.CONTACTS[2]}', 'i')
+ OR regexp_matches(trim(text), '^{C.ADDRESS}$') AS contact FROM documents""")
+def _(t):
+    return t("documents").select("doc_id", C.is_contact(F.col("text")).alias("contact"))
+
+
+@query("citation_like", rf"""WITH s AS (SELECT p_partkey, {PART_REFS} AS text FROM part), g AS (SELECT *, {SIGNALS}, regexp_matches(text, '\(\s*(1[89]\d{{2}}|20\d{{2}})[\s\[\]0-9a-z/]*\)') AS dated FROM s),
+ n AS (SELECT *, year::INT + author::INT + publisher::INT + journal::INT + pages::INT + doi::INT + url::INT AS score FROM g)
+ SELECT p_partkey, length(text) >= 15 AND (score >= 3 OR score >= 2 AND (dated OR publisher OR journal OR pages OR doi)) AS likely FROM n""")
+def _(t):
+    return t("part").select("p_partkey", C.is_citation_like(F.expr(PART_REFS)).alias("likely"))
+
+
+@query("heading_lines", """SELECT doc_id, count(*) FILTER (WHERE regexp_matches(l, '^(References?|Bibliography|Works Cited|Further Reading)[.:]?$', 'i')) AS refs, count(*) FILTER (WHERE regexp_matches(l, '^(Notes?|Endnotes?|Footnotes?:?|Author Statement)[.:]?$', 'i')) AS notes
+ FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS l FROM documents) GROUP BY doc_id""")
+def _(t):
+    lines = t("documents").select("doc_id", F.explode(F.split("text", "\n")).alias("l")).withColumn("c", C.heading_class(F.col("l")))
+    return lines.groupBy("doc_id").agg(F.count_if(F.col("c") == "references").alias("refs"), F.count_if(F.col("c") == "notes").alias("notes"))
+
+
+@query("item_kinds", f"SELECT p_partkey, 'reference' AS kind, NULL::VARCHAR AS reason FROM part WHERE {PART_REFS} IS NOT NULL")
+def _(t):
+    ref = F.expr(PART_REFS)
+    return t("part").select("p_partkey", C.kind(ref).alias("kind"), C.note_reason(ref).alias("reason"))
+
+
+@query("document_kinds")
+def _(t):
+    return t("documents").select("doc_id", C.kind(F.col("text")).alias("kind"), C.note_reason(F.col("text")).alias("reason"))
+
+
+@query("query_variants", f"""WITH r AS (SELECT p_partkey, {PART_REFS} AS text, p_name FROM part)
+ SELECT p_partkey, unnest(list_value(text, concat('Holm ', p_name))) AS variant FROM r""")
+def _(t):
+    return t("part").select("p_partkey", F.explode(D.query_variants(F.expr(PART_REFS))).alias("variant"))
+
+
+@query("identifier_verdicts", f"""WITH r AS ({LOOKUPS}), x AS (SELECT *, CASE WHEN title NOT LIKE '% and more' THEN 1.0 ELSE round((len(string_split(title, ' ')) - 2) / len(string_split(title, ' ')), 6) END AS similarity, who <> 3 AS author_match,
+  container = 'Handbook of Rooms' OR kind = 'dataset' OR (text LIKE '%Journal%' AND kind = 'book-chapter') OR (text LIKE '%Sage%' AND (kind = 'journal-article' OR (kind = 'book-chapter' AND text NOT LIKE '%. In %')))
+   OR (score < 50 AND container <> '' AND NOT (CASE container WHEN 'Journal of Care' THEN lower(text) LIKE '%journal%' OR lower(text) LIKE '%care%' ELSE lower(text) LIKE '%biologicals%' END)) AS mismatch FROM r)
+ SELECT ref_id, similarity, author_match, mismatch, NOT mismatch AND author_match AND (similarity >= 1 AND score >= 20 OR similarity >= 0.8 AND score >= 40 OR similarity >= 0.7 AND score >= 60) AS matched FROM x""")
+def _(t):
+    part = t("part")
+    fields = LOOKUPS.removeprefix("SELECT ").removesuffix(" FROM part")
+    found = part.sparkSession.sql(f"SELECT {fields} FROM {{part}}", part=part)
+    families = F.when(F.col("who") == 0, F.array().cast("array<string>")).when(F.col("who") == 1, F.array(F.lit("van Hólm"))).when(F.col("who") == 2, F.array(F.lit("Xy"), F.lit("Holm"))).when(F.col("who") == 3, F.array(F.lit("Zander"))).otherwise(F.array(F.lit("Hölm")))
+    found = D.judged(found.withColumn("families", families))
+    return found.select("ref_id", F.round("similarity", 6).alias("similarity"), "author_match", "mismatch", "matched")
+
+
+@query("cached_matches", f"""SELECT 'a' AS article, p_partkey + 1 AS ref_id, p_partkey % 2 = 0 AS cached, p_partkey % 4 = 0 AS matched FROM part""")
+def _(t):
+    refs = t("part").select(F.lit("a").alias("article"), (F.col("p_partkey") + 1).alias("ref_id"), F.concat("p_name", F.lit(" "), F.col("p_partkey").cast("string")).alias("text"), "p_partkey")
+    cache = refs.where("p_partkey % 2 = 0").select("article", "text", F.concat(F.lit("10.1234/"), F.col("ref_id").cast("string")).alias("doi"), F.lit(True).alias("matched"), F.when(F.col("p_partkey") % 4 == 2, "Zzzzqq Reports").otherwise("").alias("container"), F.lit(10).alias("score"))
+    return D.from_cache(refs.drop("p_partkey"), cache).select("article", "ref_id", "cached", "matched")
