@@ -11,6 +11,7 @@ from pyspark.sql.window import Window
 from lectern.functions import citations as C
 from lectern.functions import names as N
 from lectern.functions import text as X
+from lectern.operators import blocks as B
 from lectern.operators import identifiers as D
 from lectern.operators import matching as M
 from lectern.operators import reconcile as R
@@ -579,3 +580,32 @@ def _(t):
     refs = t("part").select(F.lit("a").alias("article"), (F.col("p_partkey") + 1).alias("ref_id"), F.concat("p_name", F.lit(" "), F.col("p_partkey").cast("string")).alias("text"), "p_partkey")
     cache = refs.where("p_partkey % 2 = 0").select("article", "text", F.concat(F.lit("10.1234/"), F.col("ref_id").cast("string")).alias("doi"), F.lit(True).alias("matched"), F.when(F.col("p_partkey") % 4 == 2, "Zzzzqq Reports").otherwise("").alias("container"), F.lit(10).alias("score"))
     return D.from_cache(refs.drop("p_partkey"), cache).select("article", "ref_id", "cached", "matched")
+
+
+# ------------------------------------------------------------------------------------------------ articles as blocks
+
+
+def line_blocks(text):
+    return F.transform(F.split(text, "\\n"), lambda x: F.struct(F.lit("p").alias("tag"), x.alias("text")))
+
+
+@query("page_furniture", r"""SELECT doc_id, len(list_filter(string_split(text, chr(10)), lambda l: NOT regexp_matches(l, '^\s*\d{1,4}\s*$'))) AS blocks FROM documents""")
+def _(t):
+    return t("documents").select("doc_id", F.nullif(F.size(B.without_furniture(line_blocks(F.col("text")), "Lectern Papers")), F.lit(-1)).cast("long").alias("blocks"))
+
+
+@query("title_blocks", "SELECT p_partkey, CASE WHEN p_partkey % 2 = 0 THEN 'Text of the room' ELSE p_name || '|Text of the room' END AS kept FROM part")
+def _(t):
+    block = lambda tag, text: F.struct(F.lit(tag).alias("tag"), text.alias("text"))
+    title = F.when(F.col("p_partkey") % 2 == 0, F.col("p_name")).otherwise("Zq Xv")
+    kept = B.without_title(F.array(block("h1", F.col("p_name")), block("p", F.lit("Text of the room"))), title)
+    return t("part").select("p_partkey", F.array_join(F.transform(kept, lambda b: b["text"]), "|").alias("kept"))
+
+
+@query("article_warnings", """SELECT item_id, CASE WHEN item_id % 2 = 0 THEN '' ELSE 'TITLE_NOT_IN_RAW' END || CASE WHEN length(trim(text, E' \\n\\t')) < 100 THEN ' EMPTY_OUTPUT' ELSE '' END AS warnings FROM benchmark""")
+def _(t):
+    text = F.col("text")
+    title = F.when(F.col("item_id") % 2 == 0, F.substring(X.squash(text), 1, 20)).otherwise("Qqzz Xxvv")
+    found = B.warnings(text, text, title, F.lit("Articles"))
+    said = F.concat(F.when(F.array_contains(found, "TITLE_NOT_IN_RAW"), "TITLE_NOT_IN_RAW").otherwise(""), F.when(F.array_contains(found, "EMPTY_OUTPUT"), " EMPTY_OUTPUT").otherwise(""))
+    return t("benchmark").select("item_id", said.alias("warnings"))
