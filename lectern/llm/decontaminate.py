@@ -49,12 +49,12 @@ def windows(bench: DataFrame, size: int) -> DataFrame:
 
 
 def lookups(found: DataFrame, counts: DataFrame, rows: int) -> DataFrame:
-    """(key, term, off, roles): the one or two rarest terms of each window, at their first offsets, with the number of these."""
+    """(key, term, off, rank, roles): the one or two rarest terms of each window, at their first offsets, with the number of these."""
     each = found.select("key", F.posexplode("phrase").alias("off", "term")).groupBy("key", "term").agg(F.min("off").alias("off"))
     each = each.join(small(counts, rows), "term", "left").withColumn("n", F.coalesce("n", F.lit(0)))
     rank = F.row_number().over(Window.partitionBy("key").orderBy("n", "off"))
     best = each.withColumn("rank", rank).where("rank <= 2")
-    return best.withColumn("roles", F.count(F.lit(1)).over(Window.partitionBy("key"))).select("key", "term", "off", "roles")
+    return best.withColumn("roles", F.count(F.lit(1)).over(Window.partitionBy("key"))).select("key", "term", "off", "rank", "roles")
 
 
 def proximity(index: DataFrame, one: str, two: str, most: int) -> DataFrame:
@@ -78,10 +78,11 @@ def occurrences(docs: DataFrame, bench: DataFrame, size: int = WINDOW) -> tuple[
     counts = stored(postings(docs, vocabulary, rows).groupBy("term").agg(F.count(F.lit(1)).alias("n")), "counts")
     asked = stored(lookups(found, counts, rows), "lookups")
     listed = postings(docs, asked.select("term").distinct(), rows)
-    # Shifted lists: a posting of a rare term at pos votes for each of its windows at pos - off.
-    shifted = listed.join(small(asked, asked.count()), "term").select("id", "key", (F.col("pos") - F.col("off")).alias("start"), "roles")
-    met = shifted.where("start >= 0").groupBy("id", "key", "start").agg(F.count(F.lit(1)).alias("votes"), F.first("roles").alias("roles"))
-    return found, met.where("votes = roles").select("id", "key", "start")
+    # Shifted lists: a posting of a rare term at pos votes for each of its windows at pos - off. Each term has a bit, as rows that repeat id and text post it again.
+    shifted = listed.join(small(asked, asked.count()), "term").select("id", "key", (F.col("pos") - F.col("off")).alias("start"), "rank", "roles")
+    met = shifted.where("start >= 0").groupBy("id", "key", "start").agg(F.bit_or("rank").alias("votes"), F.max("roles").alias("roles"))
+    # Ranks 1 and 2 are bits of their own: 1 stands for one term, 3 for both.
+    return found, met.where("votes = 2 * roles - 1").select("id", "key", "start")
 
 
 def contamination(docs: DataFrame, bench: DataFrame, size: int = WINDOW, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", carry: tuple[str, ...] = ()) -> DataFrame:

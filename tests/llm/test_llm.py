@@ -131,6 +131,14 @@ def test_decontamination(spark, docs, rows, nothing):
     assert decontaminate.contamination(nothing, bench).count() == 0 and not windows
 
 
+def test_decontamination_of_repeated_rows(spark):
+    leak = "one two three four five six seven eight nine ten eleven"
+    bench = spark.createDataFrame([(7, leak), (8, "solo")], "item_id long, text string")
+    rows = [(1, "x " + leak), (1, "x " + leak), (1, "x " + leak), (1, "clean"), (None, leak), (None, leak), (2, "so solo"), (2, "so solo"), (3, "nine ten")]
+    got = decontaminate.digests(decontaminate.contamination(spark.createDataFrame(rows, "doc_id long, text string"), bench)).collect()
+    assert Counter((r.doc_id, r.n_hit, r.contaminated) for r in got) == Counter({(1, 11, True): 3, (1, 0, False): 1, (None, 11, True): 2, (2, 1, True): 2, (3, 0, False): 1})
+
+
 def test_proximity(spark):
     index = spark.createDataFrame([("a", 1, 3), ("b", 1, 9), ("b", 1, 40), ("b", 2, 4)], "term string, id long, pos int")
     assert [(r.id, r.pos, r.other) for r in decontaminate.proximity(index, "a", "b", 6).collect()] == [(1, 3, 9)]
