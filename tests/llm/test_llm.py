@@ -157,6 +157,39 @@ def test_lines(docs, rows, spark):
                 seen.add(k)
 
 
+def edit_similarity(x, y):
+    row = list(range(len(y) + 1))
+    for i, a in enumerate(x, 1):
+        last, row[0] = row[0], i
+        for j, b in enumerate(y, 1):
+            last, row[j] = row[j], min(last + (a != b), row[j] + 1, row[j - 1] + 1)
+    return 1 - row[-1] / max(len(x), len(y))
+
+
+def test_near_lines(spark):
+    r = random.Random(8)
+    syllables = ["er", "in", "th", "on", "re", "an", "st", "ou", "le", "ion", "ver", "ach"]
+    vocabulary = ["".join(r.choices(syllables, k=min(r.choices([1, 2, 3, 4], [3, 4, 3, 1])[0], 4))) for _ in range(1500)]
+    texts = []
+    for n in [5, 6, 8, 10, 14, 20, 27, 40] * 12:
+        a = [r.choice(vocabulary) for _ in range(n)]
+        b = list(a)
+        for k in r.sample(range(n), r.randint(1, max(1, n // 7))):
+            b[k] = r.choice(vocabulary) if r.random() < 0.6 else b[k][:-1] + "q"
+        texts += [" ".join(a), " ".join(b)]
+    found = lines.dedup(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).where("n_removed = 1").collect()
+    gone = {x.doc_id for x in found}
+    # Brute force: a line goes if it hangs together with an earlier one by links of edit similarity SIMILAR.
+    fit = [k for k in range(0, len(texts), 2) if edit_similarity(texts[k], texts[k + 1]) >= lines.SIMILAR]
+    assert len(fit) > 80 and sum(k + 1 in gone for k in fit) >= 0.98 * len(fit)
+    assert all(any(edit_similarity(texts[d], texts[e]) >= lines.SIMILAR for e in range(len(texts)) if e != d) for d in gone)
+
+
+def test_lines_fold_punctuation(spark):
+    table = spark.createDataFrame([(1, "All rights reserved, 2024.\n---"), (2, "all rights -- reserved (2024)\n---")], "doc_id long, text string")
+    assert {x.doc_id: x.kept for x in lines.dedup(table).collect()} == {1: "All rights reserved, 2024.\n---", 2: "---"}
+
+
 def test_fingerprints(docs, rows):
     got = {r.doc_id: r for r in fingerprints.compared(docs).collect()}
     texts = [t or "" for _, t in rows]
