@@ -3,7 +3,7 @@
 The field scores whole candidate segments of up to MOST_TOKENS tokens. A segment's features look at the entire span (its
 shape, digits, separators, a cue word before it); bounded-entity dynamic programming chooses boundaries and kinds jointly,
 as the best path over segments. Its weights are trained here, by gradient ascent on the conditional likelihood, on lines
-made by a rule. Only stretches of text that hold a digit or an at sign can hold an entity, so only they are decoded.
+made by a rule. Only stretches of text that hold a digit, an at sign or a bracketed "at" or "dot" can hold an entity, so only they are decoded.
 """
 
 from __future__ import annotations
@@ -26,7 +26,9 @@ IP = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
 CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 INTEREST = re.compile(r"[0-9@]")
-STRETCH = re.compile(r"[^\s]*[0-9@][^\s]*")
+#: What opens a stretch: a digit, an at sign, or how it and dots are written to hide an address.
+MARK = re.compile(r"(?i)[0-9@]|[\[({<](?:at|dot)[\])}>]")
+SIGN = re.compile(r"(?i)[\[({<](?:at|dot)[\])}>]$")
 MOST_TOKENS = 6
 #: Cue words that may stand before an entity.
 CUES = {"email": {"email", "mail", "e-mail", "contact", "write"}, "ip": {"ip", "host", "address", "server", "from"}, "card": {"card", "visa", "mastercard", "pay", "cc"}, "phone": {"phone", "tel", "call", "fax", "mobile", "telephone"}}
@@ -58,7 +60,7 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
 FEATURES = (
     "bias", "tokens", "at", "at_word", "dot_word", "top_level", "digits_3_6", "digits_7", "digits_8_10", "digits_11_15", "digits_16_19", "digits_20",
     "quads", "octets_ok", "luhn", "letters", "brackets", "plus", "groups_4", "groups_3_4", "single_number", "hex_like", "slash_or_colon", "decimal", "leading_zero_or_area",
-    "cue_email", "cue_ip", "cue_card", "cue_phone", "short_tail",
+    "cue_email", "cue_ip", "cue_card", "cue_phone", "short_tail", "spelt_end", "spelt_beside",
 )
 
 
@@ -80,13 +82,15 @@ def span_features(tokens: list[str], i: int, j: int) -> list[int]:
         len(groups) == 4 and all(len(g) == 4 for g in groups), len(groups) == 3 and [len(g) for g in groups] == [3, 3, 4], len(groups) == 1 and digits == s, bool(re.fullmatch(r"(?=.*[a-f])[0-9a-f]{8,}", low)),
         bool(re.search(r"[/:=_|\"]", s)), bool(re.fullmatch(r"[0-9]+[.,][0-9]+%?", s)), bool(re.match(r"0[0-9]{1,4}[ /-]", s)),
         before in CUES["email"], before in CUES["ip"], before in CUES["card"], before in CUES["phone"], bool(re.search(r"(?:^|\s)[0-9]{1,2}$", s)),
+        # A span that starts or ends with a spelt sign, or stops short of one, is only part of an address.
+        bool(SIGN.match(words[0]) or SIGN.match(words[-1])), bool((i and SIGN.match(tokens[i - 1])) or (j < len(tokens) and SIGN.match(tokens[j]))),
     ]
     return [k for k, h in enumerate(holds) if h]
 
 
 def segments(tokens: list[str]) -> dict[tuple[int, int], list[int]]:
     """Candidate segments: spans that start and end with a token that can start or end an entity."""
-    edge = [bool(re.search(r"[0-9@]|^[\[({<]?(?:at|dot)[\])}>]?$", t)) or (k + 1 < len(tokens) and bool(re.match(r"(?i)[\[(<{]at[\])>}]$", tokens[k + 1]))) or (k and bool(re.match(r"(?i)[\[(<{](?:dot|at)[\])>}]$", tokens[k - 1]))) for k, t in enumerate(tokens)]
+    edge = [bool(re.search(r"[0-9@]|^[\[({<]?(?:at|dot)[\])}>]?$", t) or MARK.search(t)) or (k + 1 < len(tokens) and bool(re.match(r"(?i)[\[(<{]at[\])>}]$", tokens[k + 1]))) or (k and bool(re.match(r"(?i)[\[(<{](?:dot|at)[\])>}]$", tokens[k - 1]))) for k, t in enumerate(tokens)]
     return {(i, j): span_features(tokens, i, j) for i in range(len(tokens)) if edge[i] for j in range(i + 1, min(len(tokens), i + MOST_TOKENS) + 1) if edge[j - 1]}
 
 
@@ -198,36 +202,37 @@ def trained(lines: int = 500, epochs: int = 8, rate: float = 0.3) -> np.ndarray:
     return w
 
 
+def stretches(text: str) -> Iterator[tuple[list[tuple[int, int]], list[tuple[int, int]]]]:
+    """(places of all tokens, places of marked tokens): marked tokens of a line at most MOST_TOKENS apart, with as many tokens on both sides."""
+    for line in re.finditer(r"[^\n]+", text):
+        if not MARK.search(line[0]):
+            continue
+        spots = [(line.start() + t.start(), line.start() + t.end()) for t in re.finditer(r"\S+", line[0])]
+        marked = [k for k, (s, e) in enumerate(spots) if MARK.search(text, s, e)]
+        first = 0
+        for k in range(1, len(marked) + 1):
+            if k == len(marked) or marked[k] - marked[k - 1] > MOST_TOKENS:
+                yield spots[max(0, marked[first] - MOST_TOKENS) : marked[k - 1] + MOST_TOKENS + 1], [spots[m] for m in marked[first:k]]
+                first = k
+
+
 def added_spans(text: str, base: list[tuple[str, int, int]], w: np.ndarray) -> list[tuple[str, int, int]]:
     """Spans that the field finds and that touch no base span."""
-    out, at = [], 0
+    out, done = [], 0
     taken = sorted((s, e) for _, s, e in base)
-    while m := STRETCH.search(text, at):
-        # A stretch: tokens with a digit or at sign at most MOST_TOKENS apart, with as many tokens around them, on one line.
-        lo = m.start()
-        for _ in range(2):
-            p = text.rfind(" ", 0, max(0, lo - 1)) + 1
-            if p < at or "\n" in text[p:lo] or lo - p > 40:
-                break
-            lo = p
-        hi, end = m.end(), len(text)
-        while nxt := STRETCH.search(text, hi, min(end, hi + 40)):
-            gap = text[hi : nxt.start()]
-            if "\n" in gap or gap.count(" ") > 2:
-                break
-            full = STRETCH.match(text, nxt.start())
-            hi = full.end() if full else nxt.end()
-        at = hi
-        if any(s < hi and e > lo for s, e in taken) and not re.search(r"[0-9@]", re.sub(r"\S+", lambda t, lo=lo: " " if any(s < lo + t.end() and e > lo + t.start() for s, e in taken) else t[0], text[lo:hi])):
+    for spots, marked in stretches(text):
+        near = [(s, e) for s, e in taken if s < spots[-1][1] and e > spots[0][0]] if taken else []
+        if near and all(any(s < q and e > p for s, e in near) for p, q in marked):
             continue
-        spots = [(lo + t.start(), lo + t.end()) for t in re.finditer(r"\S+", text[lo:hi])]
         tokens = [text[s:e] for s, e in spots]
         segs = {}
         for (i, j), f in segments(tokens).items():
-            if not any(s < spots[j - 1][1] and e > spots[i][0] for s, e in taken):
+            # Neighbouring stretches may share tokens that aren't marked.
+            if spots[i][0] >= done and not any(s < spots[j - 1][1] and e > spots[i][0] for s, e in near):
                 segs[(i, j)] = w[:, f].sum(axis=1)
         for i, j, k in best_path(len(tokens), segs):
             s, e = spots[i][0], spots[j - 1][1]
+            done = max(done, e)
             e -= len(text[s:e]) - len(text[s:e].rstrip(",;:.!?\"'"))
             out.append((KINDS[k], s, e))
     return out
@@ -236,7 +241,7 @@ def added_spans(text: str, base: list[tuple[str, int, int]], w: np.ndarray) -> l
 def find(text: str, w: np.ndarray) -> tuple[list[tuple[str, int, int]], list[tuple[str, int, int]]]:
     """Base spans and all spans, each by kind as listed and then start."""
     base = base_spans(text)
-    more = added_spans(text, base, w) if INTEREST.search(text) else []
+    more = added_spans(text, base, w) if MARK.search(text) else []
     order = lambda x: (KINDS.index(x[0]), x[1], x[2])
     return sorted(base, key=order), sorted(base + more, key=order)
 

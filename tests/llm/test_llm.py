@@ -219,6 +219,20 @@ def test_pii_base_spans():
     assert set(base) <= set(every) and ("card", 22, 38) in every and pii.find("", pii.trained()) == ([], [])
 
 
+@pytest.mark.parametrize("said", ["anna [at] example [dot] org", "anna (at) example (dot) com", "anna7 [at] example [dot] org", "anna (at) example.net", "anna [AT] example [DOT] org"])
+@pytest.mark.parametrize("around", ["{}", "please write to {} or come by on any day of the week", "twelve words stand here before it so that nothing is near by {}, thanks\nnext line"])
+def test_pii_spelt_addresses(said, around):
+    text = around.format(said)
+    at = text.index(said)
+    assert pii.find(text, pii.trained()) == ([], [("email", at, at + len(said))])
+
+
+def test_pii_stretches():
+    text = "a b c d e f g 1 h i j k l m 2 n o p q r s t 3\n4"
+    got = [("".join(text[s:e] for s, e in spots), "".join(text[s:e] for s, e in marked)) for spots, marked in pii.stretches(text)]
+    assert got == [("bcdefg1hijklm", "1"), ("hijklm2nopqrs", "2"), ("opqrst3", "3"), ("4", "4")]
+
+
 def test_classifiers(spark, docs):
     r = random.Random(1)
     word = lambda: "".join(r.choice("abcdefgh") for _ in range(5))
