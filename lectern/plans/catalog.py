@@ -95,6 +95,22 @@ def _(t):
     return best.groupBy("src").agg(F.count(F.lit(1)).alias("n"), F.round(F.max("score"), 3).alias("best"))
 
 
+# Over whole documents and all embeddings, with English stop words and the production band. No SQL: a join on terms has too many rows;
+# a test holds the operator against hybrid() and similar().
+
+
+@query("similar_tfidf_documents")
+def _(t):
+    docs = t("documents").select(F.col("doc_id").alias("id"), "text")
+    return V.hybrid_topk(V.tfidf(docs, stop=V.english_stop_words()), t("embeddings").where("false"), blend=(1.0, 0.0))
+
+
+@query("similar_hybrid_documents")
+def _(t):
+    docs = t("documents").select(F.col("doc_id").alias("id"), "text")
+    return V.hybrid_topk(V.tfidf(docs, stop=V.english_stop_words()), t("embeddings"))
+
+
 # ------------------------------------------------------------------------------------------------ windows and top-k
 
 
