@@ -93,7 +93,7 @@ def contamination(docs: DataFrame, bench: DataFrame, size: int = WINDOW, id_col:
     plain = clean(docs, id_col, text_col).withColumn("words", words(F.col("text")))
     # Rows are known by a fingerprint of id and text, so that equal ids with different texts stay apart.
     keyed = plain.select(F.xxhash64("id", "text").alias("id"), "words")
-    found, candidates = occurrences(keyed, clean(bench, item_col, text_col).select("id", words(F.col("text")).alias("words")), size)
+    found, candidates = occurrences(keyed, bench.select(F.col(f"`{item_col}`").alias("id"), words(F.col(f"`{text_col}`").cast("string")).alias("words")), size)
     n = found.count()
     phrases = found.select("key", "phrase", "items")
     per_doc = candidates.join(small(phrases, 10 * n), "key").groupBy("id").agg(F.collect_set(F.struct("start", "phrase", "items")).alias("spots"))
@@ -102,13 +102,13 @@ def contamination(docs: DataFrame, bench: DataFrame, size: int = WINDOW, id_col:
     both = rows.join(per_doc.withColumnRenamed("id", "key"), "key", "left").select("id", words(F.col("text")).alias("words"), "spots", *extra)
     true = F.filter("spots", lambda s: F.slice("words", s["start"] + 1, F.size(s["phrase"])) == s["phrase"])
     both = both.select("id", F.size("words").cast("long").alias("n_words"), true.alias("spots"), *extra)
-    none = F.array().cast(T.ArrayType(T.LongType()))
+    none = F.array().cast(T.ArrayType(bench.schema[item_col].dataType))
     hit = F.array_distinct(F.flatten(F.transform("spots", lambda s: F.sequence(s["start"], s["start"] + F.size(s["phrase"]) - 1))))
     items = F.array_distinct(F.flatten(F.transform("spots", lambda s: s["items"])))
     spans = F.sort_array(F.transform("spots", lambda s: F.struct(s["start"].cast("long").alias("start"), (s["start"] + F.size(s["phrase"])).cast("long").alias("end"))))
     return both.select(
         F.col("id").alias("doc_id"), "n_words",
-        F.coalesce(F.size(hit), F.lit(0)).cast("long").alias("n_hit"), F.coalesce(items, none).alias("items"),
+        F.coalesce(F.size(hit), F.lit(0)).cast("long").alias("n_hit"), F.coalesce(F.array_sort(items), none).alias("items"),
         F.coalesce(spans, F.array().cast("array<struct<start:bigint,end:bigint>>")).alias("hits"),
         *carried(carry),
     )

@@ -7,6 +7,8 @@ no row of its own, and a hash that very many documents hold is one entry per chu
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 
 MASK = (1 << 64) - 1
@@ -65,6 +67,8 @@ SPACE = np.zeros(256, bool)
 SPACE[[9, 10, 11, 12, 13, 32]] = True
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
+#: Longer words enter a window's hash as a digest.
+LONG_WORD = 48
 
 
 class Words:
@@ -92,6 +96,22 @@ class Words:
         self.count = np.diff(self.first)
         self.doc = np.repeat(np.arange(len(texts)), self.count)
 
+    def digested(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """data, start and end with the first bytes of a SHA-256 digest in place of each word over LONG_WORD bytes.
+
+        Modulo a power of two some pairs of long strings of two letters have equal hashes under every base (Thue-Morse
+        words from 1,024 letters on); windows of short words are far below that.
+        """
+        long = np.flatnonzero(self.end - self.start > LONG_WORD)
+        if not len(long):
+            return self.data, self.start, self.end
+        data, keep = self.data.copy(), np.ones(len(self.data), bool)
+        for a, b in zip(self.start[long].tolist(), self.end[long].tolist(), strict=True):
+            data[a : a + 32] = np.frombuffer(hashlib.sha256(self.data[a:b].tobytes()).digest(), np.uint8)
+            keep[a + 32 : b] = False
+        at = np.concatenate([[0], np.cumsum(keep)])
+        return data[keep], at[self.start], at[self.end]
+
     def windows(self, size: int, short: bool = False) -> tuple[np.ndarray, np.ndarray]:
         """Hash of each window of `size` words of one text, and the window's first word.
 
@@ -107,7 +127,8 @@ class Words:
             last = np.concatenate([last, self.first[few + 1] - 1])
             order = np.argsort(first, kind="stable")
             first, last = first[order], last[order]
-        return substring_hashes(prefix_sums(self.data), self.start[first], self.end[last]), first
+        data, start, end = self.digested()
+        return substring_hashes(prefix_sums(data), start[first], end[last]), first
 
 
 # ------------------------------------------------------------------------------------------------------- packed hash sets

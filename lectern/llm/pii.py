@@ -11,7 +11,9 @@ from __future__ import annotations
 import functools
 import random
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -25,6 +27,10 @@ EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
 IP = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
 CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
+#: Parts of EMAIL and IP that are looked for in one pass.
+LOCAL = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-"
+DOMAIN = re.compile(r"[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
+DOTTED = re.compile(r"[0-9.]+")
 INTEREST = re.compile(r"[0-9@]")
 #: What opens a stretch: a digit, an at sign, or how it and dots are written to hide an address.
 MARK = re.compile(r"(?i)[0-9@]|[\[({<](?:at|dot)[\])}>]")
@@ -39,14 +45,43 @@ def luhn(digits: str) -> bool:
     return (sum(d[0::2]) + sum((2 * x - 9 if x > 4 else 2 * x) for x in d[1::2])) % 10 == 0
 
 
+def emails(text: str) -> Iterator[tuple[int, int]]:
+    """Matches of EMAIL, found outwards from each at sign: a long run of letters is not tried from each of its places."""
+    done = at = 0
+    while (k := text.find("@", at)) >= 0:
+        low = max(done, at)
+        first = low + len(text[low:k].rstrip(LOCAL))
+        at = k + 1
+        if first < k and (m := DOMAIN.match(text, k + 1)):
+            yield first, m.end()
+            done = at = m.end()
+
+
+def quads(text: str) -> Iterator[tuple[int, int]]:
+    """Matches of IP: four neighbouring numbers of a run of digits and dots, whose parts are at most 255."""
+    for m in DOTTED.finditer(text):
+        parts, at = m[0].split("."), m.start()
+        begin = []
+        for x in parts:
+            begin.append(at)
+            at += len(x) + 1
+        k = 0
+        while k + 3 < len(parts):
+            four = parts[k : k + 4]
+            if not all(four):
+                k += 1
+                continue
+            if all(len(q := x.lstrip("0")) <= 3 and int(q or "0") <= 255 for x in four):
+                yield begin[k], begin[k + 3] + len(four[3])
+            k += 4
+
+
 def base_spans(text: str) -> list[tuple[str, int, int]]:
     """Base spans, by kind as listed and then start; a match that fails its condition is dropped and not tried again."""
-    found = []
-    if "@" in text:
-        found += [("email", *m.span()) for m in EMAIL.finditer(text)]
+    found = [("email", *span) for span in emails(text)]
     if not INTEREST.search(text):
         return found
-    found += [("ip", *m.span()) for m in IP.finditer(text) if all(len(x.lstrip("0")) <= 3 and int(x) <= 255 for x in m[0].split("."))]
+    found += [("ip", *span) for span in quads(text)]
     for m in CARD.finditer(text):
         if m.end() - m.start() >= 16 and 16 <= len(d := re.sub("[ -]", "", m[0])) <= 19 and luhn(d):
             found.append(("card", *m.span()))
@@ -216,19 +251,31 @@ def stretches(text: str) -> Iterator[tuple[list[tuple[int, int]], list[tuple[int
                 first = k
 
 
+class Taken:
+    """Places that base spans cover."""
+
+    def __init__(self, base: list[tuple[str, int, int]]):
+        spans = sorted((s, e) for _, s, e in base)
+        self.starts = [s for s, _ in spans]
+        self.ends = list(accumulate((e for _, e in spans), max))
+
+    def touches(self, start: int, end: int) -> bool:
+        k = bisect_left(self.starts, end)
+        return k > 0 and self.ends[k - 1] > start
+
+
 def added_spans(text: str, base: list[tuple[str, int, int]], w: np.ndarray) -> list[tuple[str, int, int]]:
     """Spans that the field finds and that touch no base span."""
     out, done = [], 0
-    taken = sorted((s, e) for _, s, e in base)
+    taken = Taken(base)
     for spots, marked in stretches(text):
-        near = [(s, e) for s, e in taken if s < spots[-1][1] and e > spots[0][0]] if taken else []
-        if near and all(any(s < q and e > p for s, e in near) for p, q in marked):
+        if base and all(taken.touches(p, q) for p, q in marked):
             continue
         tokens = [text[s:e] for s, e in spots]
         segs = {}
         for (i, j), f in segments(tokens).items():
             # Neighbouring stretches may share tokens that aren't marked.
-            if spots[i][0] >= done and not any(s < spots[j - 1][1] and e > spots[i][0] for s, e in near):
+            if spots[i][0] >= done and not taken.touches(spots[i][0], spots[j - 1][1]):
                 segs[(i, j)] = w[:, f].sum(axis=1)
         for i, j, k in best_path(len(tokens), segs):
             s, e = spots[i][0], spots[j - 1][1]

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from lectern.llm import bpe, decontaminate, fingerprints, jaccard, lines, pii, quality, substrings, suffixes, toxicity
 from lectern.llm.common import table
+from lectern.llm.oracles import SQL
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -70,4 +71,4 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(SQL)

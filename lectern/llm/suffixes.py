@@ -83,15 +83,20 @@ def anchors(texts: list[bytes | None]) -> np.ndarray:
     return Segments(texts).anchor
 
 
+def gather(data: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """data[start : start + size] of all runs, end to end."""
+    return data[np.arange(int(size.sum())) + np.repeat(start - (np.cumsum(size) - size), size)]
+
+
 def rank_of(ids: np.ndarray) -> np.ndarray:
     return np.unique(ids, return_inverse=True)[1]
 
 
-def classes(anchor: np.ndarray, lens: np.ndarray, data: np.ndarray, owner: np.ndarray, size: int = SIZE) -> list[np.ndarray]:
-    """For each segment, the smallest owner of each of its strings among all segments with the same anchor.
+def classes(anchor: np.ndarray, lens: np.ndarray, data: np.ndarray, owner: np.ndarray, size: int = SIZE) -> tuple[np.ndarray, np.ndarray]:
+    """For each string of each segment, in order, the smallest owner among all segments with the same anchor; and the numbers of strings.
 
     Equal segments are one from here on, and an anchor with one segment has nothing to put in order: all its strings have
-    its owner. Arrays are by segment; data holds their bytes end to end.
+    its owner. Anchors, lens and owners are by segment; data holds their bytes end to end.
     """
     offset = np.cumsum(lens) - lens
     keys: dict[tuple[int, bytes], int] = {}
@@ -108,19 +113,22 @@ def classes(anchor: np.ndarray, lens: np.ndarray, data: np.ndarray, owner: np.nd
     texts, held, total = [], [], 0
     for k in order:
         a, b = parts[k]
-        if texts and texts[-1][0] == a and total + len(b) < TEXT_BYTES:
+        if texts and texts[-1] == a and total + len(b) < TEXT_BYTES:
             held[-1].append(k)
             total += len(b) + 1
         else:
-            texts.append((a, len(texts)))
+            texts.append(a)
             held.append([k])
             total = len(b) + 1
-    spread = np.bincount(np.unique([a for a, _ in texts], return_inverse=True)[1]) if texts else np.zeros(0, np.int64)
+    spread = np.bincount(np.unique(texts, return_inverse=True)[1]) if texts else np.zeros(0, np.int64)
     several = np.repeat(spread > 1, spread)  # texts stand in order of anchors
-    found = [np.full(len(b) - size + 1, least[k]) for k, (_, b) in enumerate(parts)]
+    strings = np.array([len(b) - size + 1 for _, b in parts], dtype=np.int64)
+    at_part = np.cumsum(strings) - strings
+    found = np.repeat(least, strings)
     widths = [sum(len(parts[k][1]) + 1 for k in ks) for ks in held]
     todo = sorted(range(len(held)), key=widths.__getitem__)
-    at, loose = 0, []
+    at, n_classes = 0, 0
+    spots, class_of, low, loose, reps = [], [], [], [], []
     while at < len(todo):
         lot, most = [], 0
         while at < len(todo) and (not lot or (len(lot) + 1) * widths[todo[at]] <= LOT_BYTES):
@@ -128,7 +136,7 @@ def classes(anchor: np.ndarray, lens: np.ndarray, data: np.ndarray, owner: np.nd
             most = widths[todo[at]]
             at += 1
         text = np.zeros((len(lot), most), np.int16)
-        place, seg, pos = [np.full((len(lot), most), -1, np.int64) for _ in range(3)]
+        string = np.full((len(lot), most), -1, np.int64)  # number of the string that starts here, among all of the bucket
         for r, x in enumerate(lot):
             o = 0
             for k in held[x]:
@@ -137,17 +145,12 @@ def classes(anchor: np.ndarray, lens: np.ndarray, data: np.ndarray, owner: np.nd
                 text[r, o : o + m] = np.frombuffer(b, np.uint8)
                 text[r, o : o + m] += 2
                 text[r, o + m] = 1
-                g = m - size + 1
-                place[r, o : o + g] = least[k]
-                seg[r, o : o + g] = k
-                pos[r, o : o + g] = np.arange(g)
+                string[r, o : o + strings[k]] = np.arange(at_part[k], at_part[k] + strings[k])
                 o += m + 1
             text[r, o - 1] = 0
-        sa = suffix_arrays(text, np.array([widths[x] for x in lot]))
-        row = np.repeat(np.arange(len(lot)), most)
-        spot = row * most + np.maximum(sa.ravel(), 0)
-        keep = (sa.ravel() >= 0) & (seg.ravel()[spot] >= 0)
-        spot = spot[keep]
+        sa = suffix_arrays(text, np.array([widths[x] for x in lot])).ravel()
+        spot = np.repeat(np.arange(len(lot)) * most, most) + np.maximum(sa, 0)
+        spot = spot[(sa >= 0) & (string.ravel()[spot] >= 0)]
         flat = text.ravel()
         new = np.ones(len(spot), bool)
         if len(spot) > 1:
@@ -158,22 +161,27 @@ def classes(anchor: np.ndarray, lens: np.ndarray, data: np.ndarray, owner: np.nd
                 equal[who] = (flat[spot[1:][who][:, None] + window] == flat[spot[:-1][who][:, None] + window]).all(axis=1)
             new[1:] = ~equal
         first = np.flatnonzero(new)
-        lowest = np.minimum.reduceat(place.ravel()[spot], first) if len(first) else np.zeros(0, np.int64)
-        value = np.repeat(lowest, np.diff(np.append(first, len(spot))))
-        for k, p, v in zip(seg.ravel()[spot].tolist(), pos.ravel()[spot].tolist(), value.tolist(), strict=True):
-            found[k][p] = v
-        for f in first[several[np.array(lot)[spot[first] // most]]] if len(first) else ():
-            loose.append((int(seg.ravel()[spot[f]]), int(pos.ravel()[spot[f]])))
-    if loose:  # classes of anchors with several texts: equal strings of different texts meet by their bytes
-        best: dict[bytes, int] = {}
-        for k, p in loose:
-            s = parts[k][1][p : p + size]
-            best[s] = min(best.get(s, NO_ID), int(found[k][p]))
-        for k in {k for k, _ in loose} | {k for x, ks in enumerate(held) if several[x] for k in ks}:
-            b = parts[k][1]
-            for p in range(len(found[k])):
-                found[k][p] = min(int(found[k][p]), best.get(b[p : p + size], NO_ID))
-    return [found[k] for k in same.tolist()]
+        own = string.ravel()[spot]
+        spots.append(own)
+        class_of.append(n_classes + np.cumsum(new) - 1)
+        low.append(np.minimum.reduceat(found[own], first))
+        rest = np.flatnonzero(several[np.array(lot)[spot[first] // most]])
+        loose.append(n_classes + rest)
+        reps.append((flat[spot[first[rest]][:, None] + np.arange(size)] - 2).astype(np.uint8))
+        n_classes += len(first)
+    if spots:
+        low = np.concatenate(low)
+        # An anchor's texts are merged by the first string of each class.
+        loose, reps = np.concatenate(loose), np.ascontiguousarray(np.concatenate(reps))
+        if len(loose):
+            group = np.unique(reps.view(f"S{size}").ravel(), return_inverse=True)[1]
+            best = np.full(int(group.max()) + 1, np.iinfo(np.int64).max)
+            np.minimum.at(best, group, low[loose])
+            low[loose] = best[group]
+        found[np.concatenate(spots)] = low[np.concatenate(class_of)]
+    counts = strings[same]
+    step = np.arange(int(counts.sum())) - np.repeat(np.cumsum(counts) - counts, counts)
+    return found[np.repeat(at_part[same], counts) + step], counts
 
 
 def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -216,55 +224,55 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
             name, first = np.unique(s.names(pick), return_index=True)
             first = pick[first]
             n = s.count[first] + SIZE - 1
-            raw = s.data.tobytes()
             names.append(name)
             anchor.append(s.anchor[first])
             lens.append(n)
-            owner.append((chunk << 32) + rank[a + s.doc[first]])
-            data += [raw[x : x + m] for x, m in zip(s.start[first].tolist(), n.tolist(), strict=True)]
-        if not data:
-            return pa.table({"bucket": pa.array([], pa.int32()), "chunk": pa.array([], pa.int32()), **{c: pa.array([], pa.binary()) for c in ("names", "anchors", "lens", "owners", "data")}})
-        names, anchor, lens, owner = (np.concatenate(x) for x in (names, anchor, lens, owner))
+            owner.append(rank[a + s.doc[first]])
+            data.append(gather(s.data, s.start[first], n))
+        names, anchor, lens, owner, data = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (names, anchor, lens, owner, data))
         # The first of equal names has the smallest document, as slices ascend.
         _, first = np.unique(names, return_index=True)
         first = first[np.argsort(anchor[first], kind="stable")]
-        at, out = 0, []
+        begin = np.cumsum(lens) - lens
+        at, out = 0, {c: [] for c in ("bucket", "chunk", "names", "anchors", "lens", "owners", "data")}
         for k, values in by_bucket(anchor[first], buckets):
             x = first[at : at + len(values)]
             at += len(values)
-            out.append((k, chunk, names[x].tobytes(), anchor[x].tobytes(), lens[x].astype("<i8").tobytes(), owner[x].astype("<i8").tobytes(), b"".join(data[i] for i in x.tolist())))
-        cols = list(zip(*out, strict=True))
-        return pa.table({"bucket": pa.array(cols[0], pa.int32()), "chunk": pa.array(cols[1], pa.int32()), **{c: pa.array(v, pa.binary()) for c, v in zip(("names", "anchors", "lens", "owners", "data"), cols[2:], strict=True)}})
+            row = (k, chunk, names[x].tobytes(), anchor[x].tobytes(), lens[x].astype("<i2").tobytes(), owner[x].astype("<i4").tobytes(), gather(data, begin[x], lens[x]).tobytes())
+            for c, v in zip(out, row, strict=True):
+                out[c].append(v)
+        return pa.table({c: pa.array(v, pa.int32() if c in ("bucket", "chunk") else pa.binary()) for c, v in out.items()})
 
     def meet(rows: pa.Table) -> pa.Table:
         got = {c: rows.column(c).to_pylist() for c in rows.column_names}
         anchor = np.concatenate([np.frombuffer(x, "<u8") for x in got["anchors"]])
-        lens = np.concatenate([np.frombuffer(x, "<i8") for x in got["lens"]])
-        owner = np.concatenate([np.frombuffer(x, "<i8") for x in got["owners"]])
-        values = classes(anchor, lens, np.frombuffer(b"".join(got["data"]), np.uint8), owner)
-        at, out = 0, []
-        for chunk, names in zip(got["chunk"], got["names"], strict=True):
+        lens = np.concatenate([np.frombuffer(x, "<i2") for x in got["lens"]]).astype(np.int64)
+        owner = np.concatenate([(c << 32) + np.frombuffer(x, "<i4").astype(np.int64) for c, x in zip(got["chunk"], got["owners"], strict=True)])
+        values, counts = classes(anchor, lens, np.frombuffer(b"".join(got["data"]), np.uint8), owner)
+        # One bit a string: whether a document before the segment's first one in its chunk holds it.
+        before = values < np.repeat(owner, counts)
+        edge, ends, out = 0, np.concatenate([[0], np.cumsum(counts)]), []
+        for names in got["names"]:
             n = len(names) // 8
-            own = values[at : at + n]
-            counts = np.array([len(v) for v in own], "<i8")
-            planes = np.concatenate(own).astype("<i8").view(np.uint8).reshape(-1, 8).T.tobytes()
-            out.append((chunk, names, counts.tobytes(), planes))
-            at += n
+            out.append((counts[edge : edge + n].astype("<i2").tobytes(), np.packbits(before[ends[edge] : ends[edge + n]]).tobytes()))
+            edge += n
         cols = list(zip(*out, strict=True))
-        return pa.table({"chunk": pa.array(cols[0], pa.int32()), **{c: pa.array(v, pa.binary()) for c, v in zip(("names", "counts", "least"), cols[1:], strict=True)}})
+        return pa.table({"chunk": pa.array(got["chunk"], pa.int32()), **{c: pa.array(v, pa.binary()) for c, v in zip(("names", "owners", "counts", "before"), (got["names"], got["owners"], *cols), strict=True)}})
 
     def remove(key: tuple, rows: pa.Table, found: pa.Table) -> pa.Table:
         texts, ids = texts_of(rows)
         no_id = rows.column("no_id").to_numpy(zero_copy_only=False)
-        chunk = int(key[0].as_py() if hasattr(key[0], "as_py") else key[0])
         rank = rank_of(ids)
         none = found.num_rows == 0
         names = np.zeros(0, np.uint64) if none else np.concatenate([np.frombuffer(x, "<u8") for x in found.column("names").to_pylist()])
-        counts = np.zeros(0, np.int64) if none else np.concatenate([np.frombuffer(x, "<i8") for x in found.column("counts").to_pylist()])
-        least = np.zeros(0, np.int64) if none else np.concatenate([np.ascontiguousarray(np.frombuffer(x, np.uint8).reshape(8, -1).T).view("<i8").ravel() for x in found.column("least").to_pylist()])
+        owner = np.zeros(0, np.int32) if none else np.concatenate([np.frombuffer(x, "<i4") for x in found.column("owners").to_pylist()])
+        by_row = [np.frombuffer(x, "<i2").astype(np.int64) for x in found.column("counts").to_pylist()]
+        before = [np.unpackbits(np.frombuffer(x, np.uint8), count=int(c.sum())) for x, c in zip(found.column("before").to_pylist(), by_row, strict=True)]
+        before = np.concatenate(before).astype(bool) if before else np.zeros(0, bool)
+        counts = np.concatenate(by_row) if by_row else np.zeros(0, np.int64)
         offset = np.cumsum(counts) - counts
         order = np.argsort(names, kind="stable")
-        names, offset = names[order], offset[order]
+        names, offset, owner = names[order], offset[order], owner[order]
         n_bytes, n_gone, spans, kept = [], [], [], []
         for a, b in slices(texts, SLICE):
             s = Segments(texts[a:b])
@@ -275,7 +283,8 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
                 hit = np.flatnonzero(names[at] == own)
                 c = s.count[hit]
                 step = np.arange(int(c.sum())) - np.repeat(np.cumsum(c) - c, c)
-                smaller = least[np.repeat(offset[at[hit]], c) + step] < np.repeat((chunk << 32) + rank[a + s.doc[hit]], c)
+                # A later document of the chunk loses all strings of a segment, its first one those that an earlier chunk's document holds.
+                smaller = before[np.repeat(offset[at[hit]], c) + step] | np.repeat(rank[a + s.doc[hit]] > owner[at[hit]], c)
                 gone = covered((np.repeat(s.start[hit], c) + step)[smaller], SIZE, len(s.data))
             stop = np.append(s.begin[1:], len(s.data))
             for x, y in zip(s.begin.tolist(), stop.tolist(), strict=True):
@@ -293,7 +302,7 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
         })
 
     sent = parts.rows.groupBy("chunk").cogroup(parts.dealt(known).groupBy("chunk")).applyInArrow(send, "bucket int, chunk int, names binary, anchors binary, lens binary, owners binary, data binary")
-    answers = sent.groupBy("bucket").applyInArrow(meet, "chunk int, names binary, counts binary, least binary")
+    answers = sent.groupBy("bucket").applyInArrow(meet, "chunk int, names binary, owners binary, counts binary, before binary")
     return parts.rows.groupBy("chunk").cogroup(parts.dealt(answers).groupBy("chunk")).applyInArrow(remove, "doc_id long, n_bytes long, n_removed long, removed array<struct<start:long,end:long>>, kept binary")
 
 
