@@ -1 +1,5 @@
+"""Query catalogs; importing the package registers the queries of all of them."""
 
+from lectern.plans import catalog, operations
+
+__all__ = ["catalog", "operations"]
