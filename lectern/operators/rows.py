@@ -79,10 +79,17 @@ def sessions(df: DataFrame, key: str, order: str, gap_seconds: int) -> DataFrame
     return df.withColumn("__new", fresh).withColumn("session", F.sum("__new").over(w)).drop("__new")
 
 
-def gaps(df: DataFrame, col: str) -> DataFrame:
-    """Integers between the smallest and largest value that no row has."""
-    span = df.agg(F.min(col).alias("lo"), F.max(col).alias("hi")).where("lo is not null")
-    return span.select(F.explode(F.sequence("lo", "hi")).alias(col)).join(df.select(col).distinct(), col, "left_anti")
+def gaps(df: DataFrame, col: str, block: int = 1_000_000) -> DataFrame:
+    """Integers between the smallest and largest value that no row has.
+
+    Values are put in order within blocks of the range; only each block's ends meet in one task, and each gap is spread
+    out on its own.
+    """
+    values = df.where(F.col(col).isNotNull()).select(F.col(col).cast("long").alias("v")).distinct().withColumn("b", F.floor(F.col("v") / block))
+    inside = values.select("v", F.lead("v").over(Window.partitionBy("b").orderBy("v")).alias("next"))
+    ends = values.groupBy("b").agg(F.min("v").alias("lo"), F.max("v").alias("hi"))
+    between = ends.select(F.col("hi").alias("v"), F.lead("lo").over(Window.orderBy("b")).alias("next"))
+    return inside.unionByName(between).where("next > v + 1").select(F.explode(F.sequence(F.col("v") + 1, F.col("next") - 1)).alias(col))
 
 
 def positional(left: DataFrame, right: DataFrame, key: str, order: str) -> DataFrame:

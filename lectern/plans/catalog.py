@@ -199,9 +199,9 @@ def _(t):
     return t("events").groupBy("event_type").agg(*[F.round(F.percentile("value", p), 4).alias(n) for p, n in ((0.5, "p50"), (0.95, "p95"), (0.99, "p99"))])
 
 
-@query("gap_report", "WITH d AS (SELECT DISTINCT CAST(o_custkey AS BIGINT) AS k FROM orders), b AS (SELECT min(k) AS lo, max(k) AS hi FROM d) SELECT k FROM (SELECT unnest(range(lo, hi + 1)) AS k FROM b) WHERE k NOT IN (SELECT k FROM d)")
+@query("gap_report", "WITH d AS (SELECT DISTINCT CAST(o_custkey AS BIGINT) AS k FROM orders WHERE o_totalprice > 300000), b AS (SELECT min(k) AS lo, max(k) AS hi FROM d) SELECT k FROM (SELECT unnest(range(lo, hi + 1)) AS k FROM b) WHERE k NOT IN (SELECT k FROM d)")
 def _(t):
-    return O.gaps(t("orders").select(F.col("o_custkey").alias("k")), "k")
+    return O.gaps(t("orders").where("o_totalprice > 300000").select(F.col("o_custkey").alias("k")), "k")
 
 
 @query("coverage_levels", """SELECT source, count(*) AS n, CAST(100 * count(*) FILTER (n_chars >= 500) // count(*) AS BIGINT) AS covered,
@@ -324,10 +324,11 @@ def _(t):
 
 
 @query("drift_stale", ENTITLED + """, r AS (SELECT user_id, bool_or(event_type <> 'error') AS a FROM events GROUP BY 1)
- SELECT c_custkey AS user_id FROM customer LEFT JOIN r ON r.user_id = c_custkey WHERE c_custkey NOT IN (SELECT user_id FROM e) AND coalesce(a, true)""")
+ SELECT c_custkey AS user_id FROM customer LEFT JOIN r ON r.user_id = c_custkey WHERE c_custkey NOT IN (SELECT user_id FROM e WHERE date_end IS NULL OR date_end > DATE '1999-01-01') AND coalesce(a, true)""")
 def _(t):
     remote = t("events").select("user_id", (F.col("event_type") != "error").alias("is_active"))
-    return R.stale_access(t("customer").select(F.col("c_custkey").alias("user_id")), R.entitlements(_members(t)), remote)
+    active = R.entitlements(_members(t)).where("date_end is null or cast(date_end as date) > DATE '1999-01-01'")
+    return R.stale_access(t("customer").select(F.col("c_custkey").alias("user_id")), active, remote)
 
 
 @query("monotone_upsert", f"""WITH s AS (SELECT o_custkey AS key, max(o_orderstatus) AS type, CASE WHEN bool_or(o_orderpriority = '5-LOW') THEN NULL ELSE max(o_orderdate) END AS de FROM orders WHERE o_orderkey % 2 = 0 GROUP BY 1),
@@ -455,11 +456,11 @@ def _(t):
     return M.one_to_one(o.where("id % 2 = 0"), o.where("id % 2 = 1"))
 
 
-@query("contained_turns", """SELECT a.turn AS left_id, b.turn AS right_id, a.conv_id FROM (SELECT conv_id, turn, left(text, 12) AS text FROM conversations) a JOIN conversations b USING (conv_id)
+@query("contained_turns", """SELECT a.turn AS left_id, b.turn AS right_id, a.conv_id FROM conversations a JOIN conversations b USING (conv_id)
  WHERE a.text <> '' AND b.text <> '' AND (contains(b.text, a.text) OR contains(a.text, b.text))""")
 def _(t):
     c = t("conversations").select("conv_id", F.col("turn").alias("id"), "text")
-    return M.contained(c.withColumn("text", F.substring("text", 1, 12)), c, "conv_id")
+    return M.contained(c, c, "conv_id")
 
 
 @query("prefix_verified", """WITH r AS (SELECT lang, source, max(text) AS text FROM documents WHERE text IS NOT NULL GROUP BY ALL), w AS (SELECT lang, source, r.text, min(doc_id) AS twin FROM r JOIN documents d USING (lang, source) WHERE d.text = r.text GROUP BY ALL)
@@ -561,9 +562,10 @@ def _(t):
     return lines.groupBy("doc_id").agg(F.count_if(F.col("c") == "references").alias("refs"), F.count_if(F.col("c") == "notes").alias("notes"))
 
 
-@query("item_kinds", f"SELECT p_partkey, 'reference' AS kind, NULL::VARCHAR AS reason FROM part WHERE {PART_REFS} IS NOT NULL")
+@query("item_kinds", f"""SELECT p_partkey, CASE WHEN p_partkey % 4 = 0 THEN 'reference' ELSE 'note' END AS kind, CASE p_partkey % 4 WHEN 1 THEN 'see-crossref' WHEN 2 THEN 'ibid' WHEN 3 THEN 'url-only' END AS reason FROM part WHERE {PART_REFS} IS NOT NULL""")
 def _(t):
-    ref = F.expr(PART_REFS)
+    k = F.col("p_partkey") % 4
+    ref = F.when(k == 0, F.expr(PART_REFS)).when(k == 1, F.concat(F.lit("See "), "p_name")).when(k == 2, "Ibid., p. 4").otherwise("https://example.org/a")
     return t("part").select("p_partkey", C.kind(ref).alias("kind"), C.note_reason(ref).alias("reason"))
 
 
