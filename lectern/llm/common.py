@@ -23,12 +23,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share (spark.checkpoint.dir); set here only where it is unset."""
+    """The folder that driver and executors share (spark.checkpoint.dir); where it is unset, a local session gets one and a cluster an error."""
     found = spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
         kept = spark.sparkContext.getCheckpointDir()
         if kept:
             return kept.rstrip("/")
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir is not set: no folder is known that driver and executors share")
         spark.sparkContext.setCheckpointDir(found := "/tmp/checkpoints/lectern")
     return found.rstrip("/")
 
