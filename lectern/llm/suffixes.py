@@ -18,14 +18,14 @@ from pyspark.sql import functions as F
 from lectern.llm.chunks import among, answered, chunked, gathered, slices, texts_of, together
 from lectern.llm.common import NO_ID, stored
 from lectern.llm.gsaca import suffix_arrays
-from lectern.llm.hashing import by_bucket, covered, prefix_sums, runs, substring_hashes
+from lectern.llm.hashing import by_bucket, covered, mixed, prefix_sums, runs, substring_hashes
 
 SIZE, GRAM = 50, 24
 #: Segments of an anchor are put into texts of about so many bytes; equal strings of several texts meet by their bytes.
 TEXT_BYTES, LOT_BYTES = 600, 300_000
 ANCHOR_BITS = 48
 #: Bytes of text whose strings are hashed together, and buckets for each chunk: both bound the memory of a task.
-SLICE, BUCKETS = 500_000, 4
+SLICE, BUCKETS = 500_000, 2
 
 
 def sliding_least(v: np.ndarray, w: int) -> np.ndarray:
@@ -70,7 +70,8 @@ class Segments:
         stop = np.append(self.start[1:], len(place))
         ins = np.concatenate([[0], np.cumsum(inside)])
         self.count = ins[stop] - ins[self.start]
-        self.anchor = h[place[self.start]]
+        # Smallest hashes crowd at the low end; scrambled once more, anchors fill all buckets alike.
+        self.anchor = mixed(h[place[self.start]])
         self.doc = np.searchsorted(self.begin, self.start, "right") - 1
 
     def names(self, pick: np.ndarray, size: int = SIZE) -> np.ndarray:
