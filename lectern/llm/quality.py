@@ -19,10 +19,19 @@ from pyspark.sql import types as T
 from lectern.llm.common import batches, clean, labelled_sample
 
 WIDTH, STRIDE, FILTERS, BLOCK = 6, 2, 16, 256
-#: Bounds of what training reads: texts of each class, and bytes of each text (scoring has no such bound).
+#: Bounds of what training reads: texts of each class, and bytes of each text, in pieces spread over all of it (scoring has no such bound).
 SAMPLE_PER_CLASS, SAMPLE_BYTES = 1_000, 16_384
 
 
+def spread(text: bytes, most: int = SAMPLE_BYTES, piece: int = 2 * BLOCK) -> bytes:
+    """A text, or pieces of it at equal distances from its first to its last byte, `most` bytes in all."""
+    if len(text) <= most:
+        return text
+    n = most // piece
+    starts = [k * (len(text) - piece) // (n - 1) for k in range(n)]
+    return b"".join(text[a : a + piece] for a in starts)
+
+
 @dataclass
 class Network:
     """taps: (WIDTH, 256, FILTERS) response of each filter to a byte at an offset; head: weights on mean, max and min."""
@@ -69,7 +78,7 @@ def train(rows: list[tuple[str, int]], counts: dict[int, int], epochs: int = 10,
     """Adam on the logistic loss, gradients passing the max-pools to the positions that won; then the true class odds."""
     rng = np.random.default_rng(seed)
     net = Network(rng.normal(0, 0.3, (WIDTH, 256, FILTERS)).astype(np.float32), np.zeros(FILTERS, np.float32), np.zeros(3 * FILTERS, np.float32), 0.0)
-    texts, y = [t.encode()[:SAMPLE_BYTES] for t, _ in rows], np.array([v for _, v in rows], dtype=np.float32)
+    texts, y = [spread(t.encode()) for t, _ in rows], np.array([v for _, v in rows], dtype=np.float32)
     if len(set(y.tolist())) < 2:
         n0, n1 = counts.get(0, 0), counts.get(1, 0)
         net.offset = float(np.log((n1 + 1) / (n0 + 1)))
