@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lectern.llm.chunks import among, answered, chunked, gathered, slices, texts_of, together
-from lectern.llm.common import NO_ID, stored
+from lectern.llm.common import NO_ID
 from lectern.llm.gsaca import suffix_arrays
 from lectern.llm.hashing import by_bucket, covered, mixed, prefix_sums, runs, substring_hashes
 
@@ -193,7 +193,8 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     with the largest id; rows of equal id do not remove from each other. An empty table gives no rows.
     """
     parts = chunked(docs, id_col, text_col)
-    known = stored(answered(gathered(parts, anchors, ANCHOR_BITS), smaller=False), "anchors")
+    # All in one plan, so that the exchange of texts is made once and used three times.
+    known = answered(gathered(parts, anchors, ANCHOR_BITS), smaller=False)
     buckets = BUCKETS * parts.chunks
 
     def send(key: tuple, rows: pa.Table, found: pa.Table) -> pa.Table:
@@ -239,7 +240,7 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
         for k, values in by_bucket(anchor[first], buckets):
             x = first[at : at + len(values)]
             at += len(values)
-            row = (k, chunk, names[x].tobytes(), anchor[x].tobytes(), lens[x].astype("<i2").tobytes(), owner[x].astype("<i4").tobytes(), gather(data, begin[x], lens[x]).tobytes())
+            row = (k, chunk, names[x].tobytes(), anchor[x].tobytes(), lens[x].astype("<i2").tobytes(), owner[x].astype("<i4").tobytes(), pa.compress(gather(data, begin[x], lens[x]).tobytes(), codec="zstd", asbytes=True))
             for c, v in zip(out, row, strict=True):
                 out[c].append(v)
         return pa.table({c: pa.array(v, pa.int32() if c in ("bucket", "chunk") else pa.binary()) for c, v in out.items()})
@@ -249,7 +250,9 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
         anchor = np.concatenate([np.frombuffer(x, "<u8") for x in got["anchors"]])
         lens = np.concatenate([np.frombuffer(x, "<i2") for x in got["lens"]]).astype(np.int64)
         owner = np.concatenate([(c << 32) + np.frombuffer(x, "<i4").astype(np.int64) for c, x in zip(got["chunk"], got["owners"], strict=True)])
-        values, counts = classes(anchor, lens, np.frombuffer(b"".join(got["data"]), np.uint8), owner)
+        sizes = [int(np.frombuffer(x, "<i2").sum(dtype=np.int64)) for x in got["lens"]]
+        data = b"".join(pa.decompress(x, n, codec="zstd", asbytes=True) for x, n in zip(got["data"], sizes, strict=True))
+        values, counts = classes(anchor, lens, np.frombuffer(data, np.uint8), owner)
         # One bit a string: whether a document before the segment's first one in its chunk holds it.
         before = values < np.repeat(owner, counts)
         edge, ends, out = 0, np.concatenate([[0], np.cumsum(counts)]), []
