@@ -43,7 +43,7 @@ class Network:
 
     def blocks(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Padded bytes, each text's first block, each text's number of blocks (one at least)."""
-        n = np.array([max(1, -(-len(t) // BLOCK)) for t in texts], dtype=np.int64)
+        n = np.array([-(-(len(t) + WIDTH) // BLOCK) for t in texts], dtype=np.int64)
         flat = b"".join(t.ljust(k * BLOCK, b"\0") for t, k in zip(texts, n.tolist(), strict=True)) + bytes(WIDTH)
         return np.frombuffer(flat, dtype=np.uint8), np.cumsum(n) - n, n
 
@@ -55,6 +55,12 @@ class Network:
             out += np.take(self.taps[k], flat[k : k + m * STRIDE : STRIDE], axis=0)
         return out.reshape(-1, BLOCK // STRIDE, FILTERS)
 
+    def tops(self, flat: np.ndarray, last: np.ndarray) -> np.ndarray:
+        """Responses without those that reach from a text's last block into the next text, so that no score depends on a neighbour."""
+        h = self.respond(flat)
+        h[last, -((WIDTH - 1) // STRIDE) :] = -1e9
+        return h
+
     def pooled(self, top: np.ndarray, first: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, ...]:
         """Mean, max and min over each text's chunks of the chunk maxima; a chunk is a block and the next of the same text."""
         last = first + n - 1
@@ -70,7 +76,10 @@ class Network:
 
     def score(self, texts: list[bytes]) -> np.ndarray:
         flat, first, n = self.blocks(texts)
-        top = np.concatenate([self.respond(flat[s * BLOCK : min(s + 1024, int(n.sum())) * BLOCK + WIDTH]).max(axis=1) for s in range(0, int(n.sum()), 1024)])
+        total = int(n.sum())
+        last = np.zeros(total, bool)
+        last[first + n - 1] = True
+        top = np.concatenate([self.tops(flat[s * BLOCK : min(s + 1024, total) * BLOCK + WIDTH], last[s : s + 1024]).max(axis=1) for s in range(0, total, 1024)])
         return 1 / (1 + np.exp(-np.clip(self.pooled(top, first, n)[0] @ self.head + self.offset, -30, 30)))
 
 
@@ -93,7 +102,7 @@ def train(rows: list[tuple[str, int]], counts: dict[int, int], epochs: int = 10,
         for s in range(0, len(order), 64):
             pick = order[s : s + 64]
             flat, first, n = net.blocks([texts[i] for i in pick])
-            h = net.respond(flat)
+            h = net.tops(flat, first + n - 1)
             won, top = h.argmax(axis=1), h.max(axis=1)
             x, rows_, at, count, c, follow = net.pooled(top, first, n)
             p = 1 / (1 + np.exp(-np.clip(x @ net.head + net.offset, -30, 30)))
