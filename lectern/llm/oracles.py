@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from lectern.llm import centroids, shards
+
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 OP1 = r"""WITH l AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS l FROM documents),
@@ -48,4 +50,51 @@ OP7 = rf"""WITH l AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text,
  SELECT l.doc_id, CAST(len(l) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
  FROM l LEFT JOIN t ON l.doc_id = t.doc_id LEFT JOIN u ON l.doc_id = u.doc_id"""
 
-SQL = {"op1_substrings": OP1, "op2_suffixes": OP2, "op5_jaccard": OP5, "op7_decontaminate": OP7}
+#: The checksum by a table that a recursion fills; then the rounds of the permutation, begun anew while the place is not below n.
+OP11 = f"""WITH RECURSIVE g AS (SELECT range AS i, range AS c, 0 AS k FROM range(256) UNION ALL SELECT i, CASE WHEN c % 2 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, k + 1 FROM g WHERE k < 8),
+ t AS (SELECT list(c ORDER BY i) AS t FROM g WHERE k = 8),
+ h AS (SELECT doc_id, coalesce(text, '') AS text, [4294967295] || list_transform(regexp_extract_all(hex(encode(coalesce(text, ''))), '..'), lambda x: ('0x' || x)::BIGINT) AS b FROM documents),
+ d AS (SELECT doc_id, octet_length(encode(text)) + 1 AS size, xor(list_reduce(b, lambda c, x: xor(c >> 8, t[(xor(c, x) & 255) + 1])), 4294967295) AS crc FROM h, t),
+ o AS (SELECT *, row_number() OVER (ORDER BY doc_id NULLS LAST, crc, size) - 1 AS row FROM d),
+ n AS (SELECT count(*) AS n, greatest(1, (length(ltrim(bin(greatest(count(*), 2) - 1), '0')) + 1) // 2)::INTEGER AS bits, {shards.round_keys(shards.SEED)} AS keys FROM d),
+ s AS (SELECT row, (row >> bits)::HUGEINT AS l, (row & ((1::BIGINT << bits) - 1))::HUGEINT AS r, 0 AS k, n, bits, keys FROM o, n
+  UNION ALL SELECT row, r AS l, xor(l, (xor(y, y >> 32) * {shards.MIX[1]}::HUGEINT % {1 << 64}::HUGEINT) >> (64 - bits)) AS r, k % {shards.ROUNDS} + 1 AS k, n, bits, keys
+  FROM (SELECT *, (r + keys[k % {shards.ROUNDS} + 1]) * {shards.MIX[0]}::HUGEINT % {1 << 64}::HUGEINT AS y FROM s WHERE k < {shards.ROUNDS} OR l * (1::HUGEINT << bits) + r >= n)),
+ p AS (SELECT row, (l * (1::HUGEINT << bits) + r)::BIGINT AS place FROM s WHERE k = {shards.ROUNDS} AND l * (1::HUGEINT << bits) + r < n)
+ SELECT doc_id, size, crc AS text_crc32, 'rows' AS law, (place % {shards.SHARDS})::INTEGER AS shard, place // {shards.SHARDS} AS slot, NULL::INTEGER AS grown_shard FROM o JOIN p USING (row)"""
+
+OP12 = r"""WITH w AS (SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+ q AS (SELECT doc_id, bool_or(coalesce(quality = 1, false)) AS good, bool_or(coalesce(toxic = 1, false)) AS toxic FROM labels GROUP BY doc_id),
+ m AS (SELECT part, coalesce(good, false) AS good, coalesce(toxic, false) AS toxic, [len(w) < 200, 100 * list_unique(w) < 50 * len(w), 100 * length(regexp_replace(text, '[^A-Z]', '', 'g')) > 2 * length(text),
+  regexp_matches(text, '[#$%&*|]'), w.doc_id > min(w.doc_id) OVER (PARTITION BY text)] AS f FROM w LEFT JOIN q USING (doc_id)),
+ l AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS l),
+ o AS (SELECT [a.l, b.l, c.l, d.l, e.l] AS o FROM l a, l b, l c, l d, l e WHERE len(list_distinct([a.l, b.l, c.l, d.l, e.l])) = 5),
+ s AS (SELECT o, unnest([1, 2, 3, 4, 5]) AS step FROM o),
+ u AS (SELECT part, good, toxic, f, count(*) AS n FROM m GROUP BY ALL),
+ c AS (SELECT part, array_to_string(o, '') AS filter_order, step, o[step] AS l, n, good, toxic, f[ascii(o[step]) - 64] AS fails, len(list_filter(o[1:step - 1], lambda x: f[ascii(x) - 64])) > 0 AS gone, len(list_filter(f, lambda x: x)) AS fs FROM u, s),
+ r AS (SELECT part, filter_order, step, l, coalesce(sum(n) FILTER (WHERE NOT gone AND NOT fails), 0)::BIGINT AS kept, coalesce(sum(n) FILTER (WHERE NOT gone AND fails), 0)::BIGINT AS removed,
+  coalesce(sum(n) FILTER (WHERE gone AND fails), 0)::BIGINT AS redundant, coalesce(sum(n) FILTER (WHERE fails AND fs = 1), 0)::BIGINT AS unique_fails,
+  coalesce(sum(n) FILTER (WHERE NOT gone AND fails AND good), 0)::BIGINT AS good_lost, coalesce(sum(n) FILTER (WHERE NOT gone AND fails AND toxic), 0)::BIGINT AS toxic_lost FROM c GROUP BY ALL)
+ SELECT * EXCLUDE (l), sum(removed) OVER (PARTITION BY part, l)::BIGINT AS shapley FROM r"""
+
+
+def _rounds() -> str:
+    """All rounds of the clustering, one after the other; the last assignment is a{centroids.ROUNDS}."""
+    out = []
+    for k in range(centroids.ROUNDS + 1):
+        out.append(f"""a{k} AS (SELECT rid, id, v, c.k AS cluster, list_sum(list_transform(list_zip(v, c.c), lambda x: (x[1] - x[2]) * (x[1] - x[2])))::BIGINT AS distance
+ FROM e, c{k} c QUALIFY row_number() OVER (PARTITION BY rid ORDER BY distance, c.k) = 1)""")
+        if k < centroids.ROUNDS:
+            out.append(f"""m{k} AS (SELECT cluster, list(((s - ((s % n) + n) % n) // n)::BIGINT ORDER BY i) AS c FROM (SELECT cluster, i, sum(x)::HUGEINT AS s, count(*)::HUGEINT AS n
+ FROM (SELECT cluster, unnest(v) AS x, unnest(range({centroids.COMPONENTS})) AS i FROM a{k}) GROUP BY cluster, i) GROUP BY cluster), c{k + 1} AS (SELECT k, coalesce(m{k}.c, c{k}.c) AS c FROM c{k} LEFT JOIN m{k} ON cluster = k)""")
+    return ",\n ".join(out)
+
+
+OP13 = f"""WITH e AS (SELECT row_number() OVER () AS rid, vec_id AS id, list_transform(embedding::DOUBLE[], lambda x: floor({centroids.SCALE} * x)::BIGINT) AS v FROM embeddings
+  WHERE len(embedding) = {centroids.COMPONENTS} AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = {centroids.COMPONENTS}),
+ c0 AS (SELECT row_number() OVER (ORDER BY h, v) - 1 AS k, v AS c FROM (SELECT sha256('{centroids.SEED}:' || coalesce(id::VARCHAR, '')) AS h, v FROM e ORDER BY h, v LIMIT {centroids.CENTROIDS})),
+ {_rounds()}
+ SELECT id AS vec_id, cluster::INTEGER AS cluster, distance, sum(distance) OVER (PARTITION BY cluster)::BIGINT AS cluster_inertia, sum(distance) OVER ()::BIGINT AS inertia, sha256(array_to_string(c.c, ',')) AS centroid_sha256
+ FROM a{centroids.ROUNDS} a JOIN c{centroids.ROUNDS} c ON c.k = a.cluster"""
+
+SQL = {"op1_substrings": OP1, "op2_suffixes": OP2, "op5_jaccard": OP5, "op7_decontaminate": OP7, "op11_shards": OP11, "op12_audit": OP12, "op13_centroids": OP13}

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lectern.llm import bpe, decontaminate, fingerprints, jaccard, lines, pii, quality, substrings, suffixes, toxicity
+from lectern.llm import audit, bpe, centroids, decontaminate, fingerprints, jaccard, lines, pii, quality, shards, substrings, suffixes, toxicity
 from lectern.llm.common import table
 from lectern.llm.oracles import SQL
 
@@ -66,8 +66,20 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op11_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shards.digests(shards.shuffled(table(spark, sf_dir, "documents")))
+
+
+def op12_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op13_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.digests(*centroids.clusters(table(spark, sf_dir, "embeddings")))
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_substrings, op2_suffixes, op3_pii, op4_lines, op5_jaccard, op6_fingerprints, op7_decontaminate, op8_quality, op9_bpe, op10_toxicity)}
+    return {f.__name__: f for f in (op1_substrings, op2_suffixes, op3_pii, op4_lines, op5_jaccard, op6_fingerprints, op7_decontaminate, op8_quality, op9_bpe, op10_toxicity, op11_shards, op12_audit, op13_centroids)}
 
 
 def oracle_sql() -> dict[str, str]:
