@@ -1,5 +1,5 @@
 """Query catalogs; importing the package registers the queries of all of them."""
 
-from lectern.plans import articles, catalog, operations
+from lectern.plans import articles, catalog, markup, operations
 
-__all__ = ["articles", "catalog", "operations"]
+__all__ = ["articles", "catalog", "markup", "operations"]

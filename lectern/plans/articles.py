@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from lectern.functions import markup as K
 from lectern.functions import text as X
 from lectern.functions import wording as W
 from lectern.operators import articles as A
@@ -21,7 +22,7 @@ def _titles(t):
     return t("part").select("p_partkey", title.alias("title"))
 
 
-@query("title_keys", f"""SELECT p_partkey, trim(regexp_replace(regexp_replace(lower(regexp_replace(title, '[-'']', ' ', 'g')), '[^a-z0-9 ]', '', 'g'), ' +', ' ', 'g')) AS spaced,
+@query("title_forms", f"""SELECT p_partkey, trim(regexp_replace(regexp_replace(lower(regexp_replace(title, '[-'']', ' ', 'g')), '[^a-z0-9 ]', '', 'g'), ' +', ' ', 'g')) AS spaced,
  trim(regexp_replace(replace(replace(lower(title), '''', ''), '’', ''), '[^a-z0-9]+', ' ', 'g')) AS squashed, regexp_replace(lower(title), '[^a-z0-9]', '', 'g') AS tight,
  regexp_replace(regexp_replace(title, '<[^>]+>', '', 'g'), '[\\s•-]', '', 'g') AS plain,
  trim(regexp_replace(regexp_replace(trim(lower(title)), '[“”"'']', '', 'g'), '\\s+', ' ', 'g'), ' .,;:') AS title, lower(trim(regexp_replace(regexp_replace(regexp_replace(title, '<[^>]+>', '', 'g'), '[^a-zA-Z ]', '', 'g'), ' +', ' ', 'g'))) AS matched FROM {TITLES}""")
@@ -97,8 +98,8 @@ def _(t):
     gap = F.when(F.col("o_orderkey") % 2 == 0, "</p><p>").otherwise("</p>\n<p>")
     html = F.concat(F.lit('<p>See <a class="x" href="https://doi.org/10.1000/a'), "o_orderkey", F.lit('">one</a>'), gap, F.lit("Next, <A HREF='http://dx.doi.org/10.1000/b'>two</A> words</p>"))
     one = t("orders").select("o_orderkey", html.alias("html"))
-    said = F.array_join(F.transform(W.run_on_links(F.col("html")), lambda x: F.concat_ws(">", x["doi"], x["follows"])), ";")
-    return one.select("o_orderkey", F.array_join(W.doi_links(F.col("html")), ",").alias("links"), said.alias("run_on"))
+    said = F.array_join(F.transform(K.run_on_links(F.col("html")), lambda x: F.concat_ws(">", x["doi"], x["follows"])), ";")
+    return one.select("o_orderkey", F.array_join(K.doi_links(F.col("html")), ",").alias("links"), said.alias("run_on"))
 
 
 @query("without_doi", "SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 2 THEN 'Doe, J. (2001). Being. No link' ELSE 'Doe, J. (2001). Being.' END AS text FROM orders")

@@ -32,6 +32,8 @@ def query(name: str, sql: str | None = None) -> Callable[[Callable], Callable]:
     """Registers f(t), t giving tables by name, as a query; sql is its oracle."""
 
     def wrap(f: Callable) -> Callable:
+        if name in QUERIES:
+            raise ValueError(f"two queries are called {name}")
         QUERIES[name] = lambda spark, sf_dir: f(lambda t: spark.read.parquet(f"{sf_dir.rstrip('/')}/{t}.parquet"))
         if sql:
             ORACLES[name] = sql
@@ -415,17 +417,6 @@ def _(t):
     return t("supplier").select("s_suppkey", X.person(name)["family"].alias("family"))
 
 
-@query("page_text")
-def _(t):
-    return t("pages").select("page_id", F.char_length(X.stripped_tags(F.col("html"))).alias("chars"), F.md5(X.stripped_tags(F.col("html"))).alias("digest"))
-
-
-@query("link_classes")
-def _(t):
-    links = t("pages").select("page_id", F.explode(F.regexp_extract_all("html", F.lit("href=\"([^\"]*)\""), F.lit(1))).alias("href"))
-    return links.withColumn("class", X.link_class(F.col("href"))).groupBy("class").agg(F.count(F.lit(1)).alias("n"))
-
-
 @query("validation_report", """WITH e AS (SELECT doc_id, unnest([CASE WHEN text IS NULL OR trim(text) = '' THEN 'text missing' END, CASE WHEN lang NOT IN ('en', 'de', 'fr') THEN 'unknown lang' END,
  CASE WHEN n_chars < 300 THEN 'too short' END, CASE WHEN n_chars <> length(text) THEN 'wrong n_chars' END]) AS problem FROM documents)
  SELECT problem, count(*) AS n FROM e WHERE problem IS NOT NULL GROUP BY problem""")
