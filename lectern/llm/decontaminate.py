@@ -108,7 +108,7 @@ def contamination(docs: DataFrame, bench: DataFrame, size: int = WINDOW, id_col:
     spans = F.sort_array(F.transform("spots", lambda s: F.struct(s["start"].cast("long").alias("start"), (s["start"] + F.size(s["phrase"])).cast("long").alias("end"))))
     return both.select(
         F.col("id").alias("doc_id"), "n_words",
-        F.coalesce(F.size(hit), F.lit(0)).cast("long").alias("n_hit"), F.coalesce(F.array_sort(items), none).alias("items"),
+        F.when(hit.isNotNull(), F.size(hit)).otherwise(0).cast("long").alias("n_hit"), F.coalesce(F.array_sort(items), none).alias("items"),
         F.coalesce(spans, F.array().cast("array<struct<start:bigint,end:bigint>>")).alias("hits"),
         *carried(carry),
     )
@@ -117,5 +117,4 @@ def contamination(docs: DataFrame, bench: DataFrame, size: int = WINDOW, id_col:
 def digests(found: DataFrame) -> DataFrame:
     """The contract's columns, from what contamination returns."""
     said = F.array_join(F.sort_array(F.transform("items", lambda i: i.cast("string"))), ",")
-    n_hit = F.when(F.col("n_hit") > 0, F.col("n_hit")).otherwise(0)
-    return found.select("doc_id", "n_words", n_hit.cast("long").alias("n_hit"), F.size("items").cast("long").alias("n_items"), F.sha2(said, 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
+    return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(said, 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))

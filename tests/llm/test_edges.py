@@ -135,3 +135,21 @@ def test_oracle(spark, name):
     rel = con.sql(SQL[name])
     at = [rel.columns.index(c) for c in found.columns]
     assert sorted(map(tuple, found.collect())) == sorted(tuple(r[i] for i in at) for r in rel.fetchall())
+
+
+def test_clean_documents_have_no_hits_without_ansi(spark, docs, bench):
+    spark.conf.set("spark.sql.ansi.enabled", "false")
+    try:
+        found = {r.doc_id: r.n_hit for r in decontaminate.contamination(docs, bench).where("doc_id in (1, 4, 7)").collect()}
+    finally:
+        spark.conf.unset("spark.sql.ansi.enabled")
+    assert found == {1: 0, 4: 0, 7: 11}
+
+
+def test_large_regions_lose_no_links(spark, monkeypatch):
+    monkeypatch.setattr(jaccard, "LEAF_PAIRS", 0)
+    word = lambda g, k: f"g{g}w{k}"
+    # Each document of a group moves on by four words of forty: neighbours link (32 of 40 shingles), others don't.
+    rows = [(10 * g + k, " ".join(word(g, 4 * k + i) for i in range(40))) for g in range(60) for k in range(3 + g % 3)]
+    found = {r.doc_id: r.component_id for r in jaccard.join(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert found == {d: d // 10 * 10 for d, _ in rows}
