@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from lectern.functions import citations as C
 from lectern.functions import text as X
+from lectern.functions.wording import phrase_end
 
 # Fixed values ---------------------------------------------------------------------------------------------------------
 TITLE_RATIO, TITLE_SHARE, FUZZY_SHARE = 2, 0.5, 0.8
@@ -70,8 +71,7 @@ def until_next(blocks: Column, title: Column, following: Column) -> Column:
     """
     tight = lambda c: F.regexp_replace(F.lower(c), "[^a-z0-9]", "")
     said = C.words(X.squash(bare_title(following)))
-    pattern = F.array_join(said, r"(?:\s+\S+){0,5}\s+")
-    holds = lambda b: (F.size(said) > 0) & F.rlike(X.squash(b["text"]), pattern)
+    holds = lambda b: phrase_end(C.words(X.squash(b["text"])), said) >= 0
     back = lambda b: F.coalesce(C.heading_class(C.strip(b["text"])) != "bio", F.lit(False))
     last = F.coalesce(F.array_max(F.filter(F.transform(blocks, lambda b, i: F.when(b["tag"].isin("h2", "h3") & back(b), i + 1)), lambda x: x.isNotNull())), F.lit(0))
     other = _first(blocks, lambda b, i: (i > last) & _heading(b) & ~back(b))
