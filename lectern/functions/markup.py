@@ -105,12 +105,25 @@ def plain_text(markup: Column) -> Column:
     return F.translate(F.replace(unescaped(joined), F.lit("\ufdd0;"), F.lit("")), "\ufdd1", "&")
 
 
-def attribute(tag: Column, name: str) -> Column:
-    """Value of the first attribute of that name in a start tag, references replaced; '' for one without value, null if there is none."""
+def attributes(tag: Column) -> Column:
+    """Structs of name (lower case) and value of a start tag's attributes in order, references replaced; the value is '' where there is none."""
     inner = F.regexp_replace(tag, r"^<[a-zA-Z][^\t\n\r\f />\x00]*+", "")
-    found = F.filter(F.regexp_extract_all(inner, F.lit(_ATTRIBUTE), F.lit(0)), lambda a: F.lower(F.regexp_extract(a, r"^[^\s=]+", 0)) == name)
-    value = F.regexp_replace(F.get(found, F.lit(0)), r"^[^\s=]+\s*=*[\s=]*", "")
-    return unescaped(F.regexp_replace(value, r"""(?s)^(["'])(.*)\1$""", "$2"))
+
+    def of(pair: Column) -> Column:
+        value = F.regexp_replace(F.regexp_replace(pair, r"^[^\s=]+\s*=*[\s=]*", ""), r"""(?s)^(["'])(.*)\1$""", "$2")
+        return F.struct(F.lower(F.regexp_extract(pair, r"^[^\s=]+", 0)).alias("name"), unescaped(value).alias("value"))
+
+    return F.transform(F.regexp_extract_all(inner, F.lit(_ATTRIBUTE), F.lit(0)), of)
+
+
+def value_of(found: Column, name: str) -> Column:
+    """Value of the first attribute of that name among those of `attributes`; null if there is none."""
+    return F.get(F.filter(found, lambda a: a["name"] == name), F.lit(0))["value"]
+
+
+def attribute(tag: Column, name: str) -> Column:
+    """Value of the first attribute of that name in a start tag; '' for one without value, null if there is none."""
+    return value_of(attributes(tag), name)
 
 
 #: Marks inside a flattened stream: a tag, the end of a link, the end of its address.
@@ -152,7 +165,8 @@ def escaped(text: Column) -> Column:
 
 
 #: A start tag that XML can hold as it is; what XML can't hold as a name; an ampersand that begins no reference of XML.
-_FAIR = re.compile(r"""<[a-zA-Z_][\w.-]*(?:\s+[a-zA-Z_][\w.:-]*\s*=\s*(?:"[^"<&]*"|'[^'<&]*'))*\s*/?>""", re.ASCII)
+_XML_REFERENCE = r"&(?:amp|lt|gt|quot|apos|#[0-9]+|#x[0-9a-fA-F]+);"
+_FAIR = re.compile(rf"""<[a-zA-Z_][\w.-]*(?:\s+[a-zA-Z_][\w.:-]*\s*=\s*(?:"(?:[^"<&]|{_XML_REFERENCE})*"|'(?:[^'<&]|{_XML_REFERENCE})*'))*\s*/?>""", re.ASCII)
 _NAME = re.compile(r"[a-zA-Z_][\w.-]*", re.ASCII)
 _AMPERSAND = re.compile(r"&(?!(?:amp|lt|gt|quot|apos|#[0-9]+|#x[0-9a-fA-F]+);)([a-zA-Z][a-zA-Z0-9]*;)?")
 _PAIR = re.compile(r"""([^\s/>=][^\s/>=]*)(?:\s*=[\s=]*("[^"]*"|'[^']*'|[^\s>]*))?""")
@@ -174,7 +188,7 @@ def _start_tag(source: str, written: str, empty: bool) -> str:
         return source
     pairs: dict[str, str] = {}
     for name, value in _PAIR.findall(source[1 + len(written):]):
-        if _NAME.fullmatch(name):
+        if _NAME.fullmatch(name.replace(":", "", 1)):
             pairs.setdefault(name.lower(), value[1:-1] if value[:1] in ("'", '"') and value[-1:] == value[:1] and len(value) > 1 else value)
     attributes = "".join(' {}="{}"'.format(k, _fit(v).replace('"', "&quot;")) for k, v in pairs.items())
     return f"<{written}{attributes}{'/>' if empty else '>'}"

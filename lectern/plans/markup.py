@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from lectern.functions import markup as K
 from lectern.functions import text as X
+from lectern.operators import jats as J
 from lectern.plans.catalog import query
 
 #: Pages cut into raw elements, comments, tags and text by DuckDB's own expressions.
@@ -66,3 +67,29 @@ def _(t):
     html = F.concat(F.lit('<li>x <a href="https://doi.org/'), doi, F.lit('">y</a>'), F.when(k == 2, "</li><li>Following, z").otherwise("</li>\n<li>z"), F.lit("</li>"))
     one = t("part").select("p_partkey", F.get(K.reference_dois(jats), F.lit(0)).alias("r"), F.get(K.run_on_links(html), F.lit(0)).alias("l"))
     return one.select("p_partkey", F.trim("r.text").alias("text"), F.array_join("r.stated", ",").alias("stated"), F.array_join("r.linked", ",").alias("linked"), F.coalesce("l.follows", F.lit("")).alias("run_on"))
+
+
+# Articles round the documents' texts, three shapes; the SQL writes the JATS, and the HTML that comes back from it.
+
+ESCAPED = "replace(replace(replace(coalesce(text, ''), '&', '&amp;'), '<', '&lt;'), '>', '&gt;')"
+NL = "' || chr(10) || '"
+
+
+@query("article_jats", f"""WITH d AS (SELECT doc_id, doc_id % 3 AS v, {ESCAPED} AS body FROM documents), x AS (SELECT doc_id,
+ '<sec><title>One ' || doc_id || '</title>{NL}<p>' || body || ' <italic>x</italic> &amp; <ext-link xlink:href="https://e.org/?a=1&amp;b=2">link</ext-link>.</p>{NL}' ||
+ CASE v WHEN 0 THEN '<list list-type="bullet"><list-item><p>a</p></list-item>{NL}<list-item><p>b <bold>c</bold></p></list-item>{NL}</list>{NL}</sec>{NL}'
+  WHEN 1 THEN '<sec><title>In</title>{NL}<disp-quote><p>bare ' || doc_id || '</p></disp-quote>{NL}</sec>{NL}<sec><title>In two</title>{NL}<p>t</p>{NL}</sec>{NL}</sec>{NL}'
+  ELSE '<disp-quote><p>q1</p>{NL}<p>q2</p>{NL}</disp-quote>{NL}<fig><graphic xlink:href="a.png" xlink:title="A &quot;b&quot;" content-type="width:40%"/><caption><p>Cap</p></caption></fig>{NL}</sec>{NL}' END || '<sec><title>End</title>{NL}<p>last<break/>line' || '</p>{NL}</sec>' AS jats,
+ '<h2>One ' || doc_id || '</h2>{NL}<p>' || body || ' <em>x</em> &amp; <a href="https://e.org/?a=1&amp;b=2">link</a>.</p>{NL}' ||
+ CASE v WHEN 0 THEN '<ul><li>a</li>{NL}<li>b <strong>c</strong></li>{NL}</ul>{NL}' WHEN 1 THEN '<h3>In</h3>{NL}<blockquote>bare ' || doc_id || '</blockquote>{NL}<h3>In two</h3>{NL}<p>t</p>{NL}'
+  ELSE '<blockquote><p>q1</p>{NL}<p>q2</p>{NL}</blockquote>{NL}<figure><img src="a.png" alt="A &quot;b&quot;" data-width="40%"/><figcaption>Cap</figcaption>{NL}</figure>{NL}' END || '<h2>End</h2>{NL}<p>last<br/>line</p>' AS html FROM d)
+ SELECT doc_id, md5(jats) AS jats, md5(html) AS html FROM x""")
+def _(t):
+    d, v = F.col("doc_id"), F.col("doc_id") % 3
+    shapes = (
+        F.when(v == 0, "<div><ul><li><p>a</p></li><li>b <b>c</b></li></ul></div>").when(v == 1, F.concat(F.lit("<h3>In</h3><blockquote>bare "), d, F.lit("</blockquote><H3>In two</H3><p>t</p>")))
+        .otherwise('<blockquote><p>q1</p><p>q2</blockquote><!-- c --><figure><img src=a.png alt=\'A "b"\' data-width="40%"><figcaption>Cap</figcaption></figure><script>x</script>')
+    )
+    html = F.concat(F.lit("<head><title>t</title></head><h2>One "), d, F.lit("</h2><p>"), K.escaped(F.coalesce("text", F.lit(""))), F.lit(' <i>x</i> & <a href="https://e.org/?a=1&amp;b=2">link</a><a name="q">.</a></p>'), shapes, F.lit("<h2>End</h2><p>last<br>line"))
+    there = J.to_jats(t("documents").select("doc_id", html.alias("source")), "doc_id", "source")
+    return J.to_html(there, "doc_id", "jats").select("doc_id", F.md5("jats").alias("jats"), F.md5("html").alias("html"))
