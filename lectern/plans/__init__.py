@@ -1,5 +1,5 @@
 """Query catalogs; importing the package registers the queries of all of them."""
 
-from lectern.plans import articles, catalog, markup, operations, routing
+from lectern.plans import articles, catalog, markup, notes, operations, routing
 
-__all__ = ["articles", "catalog", "markup", "operations", "routing"]
+__all__ = ["articles", "catalog", "markup", "notes", "operations", "routing"]
