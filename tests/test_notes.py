@@ -59,6 +59,6 @@ def test_common_start_by_brute_force(spark):
 
 
 def test_proved_edit(spark):
-    rows = [("Café au lait", "CAFE  au-lait", ("CAFE  au-lait", False, None, None, None)), ("one two", "one too", ("one two", True, 5, "onetwo", "onetoo")), (None, "", ("", False, None, None, None)), ("ab", None, ("ab", True, 0, "ab", "")), ("", "b", ("", True, 0, "", "b"))]
+    rows = [("Café au lait", "CAFE  au-lait", ("CAFE  au-lait", False, None, None, None)), ("one two", "one too", ("one two", True, 4, "onetwo", "onetoo")), (None, "", ("", False, None, None, None)), ("ab", None, ("ab", True, 0, "ab", "")), ("", "b", ("", True, 0, "", "b"))]
     got = T.proved_edit(spark.createDataFrame([(a, b) for a, b, _ in rows], "a string, b string"), "a", "b").select("edit").collect()
     assert [tuple(x.edit) for x in got] == [w for _, _, w in rows]
