@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from lectern.functions import names as N
 
@@ -17,7 +18,7 @@ def registry_match(names: DataFrame, registry: DataFrame, least: float = LEAST_R
 
     By equal folded key: exact. Else by family name and initial: fuzzy with one candidate, ambiguous with several (canonical is
     null then). Else the entry of the largest ratio if that is `least` at least, ties to the smaller entry: fuzzy. Else new.
-    All joins are on equal values (keys, or lengths that allow the ratio), so that neither side is ever sent whole to one task.
+    All joins are on equal values (keys, or rare pairs of letters), so that neither side is ever sent whole to one task.
     """
     asked = names.select("name").where("name is not null").distinct().withColumn("key", N.name_key(F.col("name")))
     known = registry.select("canonical").where("canonical is not null").distinct().withColumn("key", N.name_key(F.col("canonical")))
@@ -26,9 +27,8 @@ def registry_match(names: DataFrame, registry: DataFrame, least: float = LEAST_R
     blocks = known.groupBy(*[f(F.col("canonical")).alias(n) for f, n in zip(block, "fi")]).agg(F.array_sort(F.collect_set("canonical")).alias("found"))
     met = exact.withColumns({n: f(F.col("name")) for f, n in zip(block, "fi")}).join(blocks, ["f", "i"], "left")
     met = met.select("name", "key", "exact", F.when(F.col("exact").isNull(), F.col("found")).alias("found"))
-    lone = met.where("exact is null and found is null").select("name", "key", F.explode(N.length_window(F.char_length("key"), least)).alias("size"))
-    sized = known.select("canonical", F.col("key").alias("other"), F.char_length("key").alias("size"))
-    scored = lone.join(sized, "size").withColumn("score", N.ratio(F.col("key"), F.col("other"))).where(F.col("score") >= least)
+    pairs = near_pairs(met.where("exact is null and found is null").select("name", "key"), known.select("canonical", F.col("key").alias("other")), least)
+    scored = pairs.withColumn("score", N.ratio(F.col("key"), F.col("other"))).where(F.col("score") >= least)
     best = scored.groupBy("name").agg(F.min_by("canonical", F.struct(-F.col("score"), F.col("canonical"))).alias("best"))
     out = met.join(best, "name", "left")
     one = F.when(F.size("found") == 1, F.get("found", F.lit(0)))
@@ -36,6 +36,54 @@ def registry_match(names: DataFrame, registry: DataFrame, least: float = LEAST_R
     return out.select("name", F.coalesce("exact", one, "best").alias("canonical"), status.alias("status"), F.coalesce("found", F.array().cast("array<string>")).alias("candidates"))
 
 
+def _grams(df: DataFrame, name: str, key: str) -> DataFrame:
+    """df with `grams`: the key's pairs of letters, each numbered by how often it stood before in the key."""
+    pairs = F.transform(F.sequence(F.lit(1), F.greatest(F.char_length(key) - 1, F.lit(1))), lambda i: F.substring(F.col(key), i, F.lit(2)))
+    each = df.select(name, key, F.posexplode(F.when(F.char_length(key) > 1, pairs).otherwise(F.array())).alias("at", "gram"))
+    nth = F.row_number().over(Window.partitionBy(name, key, "gram").orderBy("at"))
+    return each.select(name, key, F.concat_ws("\u0001", "gram", nth.cast("string")).alias("gram"))
+
+
+def least_shared(a: Column, b: Column, least: float) -> Column:
+    """How many pairs of letters two strings of lengths a and b share at least if their matching-blocks ratio is `least`.
+
+    Of M matched letters in k blocks M - k pairs lie inside blocks, k is 1 + (a - M) + (b - M) at most, and M is at least
+    least * (a + b) / 2.
+    """
+    return F.ceil((1.5 * least - 1) * (a + b) - 1 - 1e-9).cast("int")
+
+
+def near_pairs(asked: DataFrame, known: DataFrame, least: float) -> DataFrame:
+    """(name, key, canonical, other): all pairs of asked (name, key) and known (canonical, other) whose ratio may be `least`.
+
+    An index of pairs of letters: a key is met by its rarest ones only, as many as are left when all but the fewest that it
+    must share are put aside; lengths and the number of shared pairs are asked before the ratio is. Keys too short for the
+    bound to promise one shared pair meet by length. With `least` of 2/3 or below nothing is promised, and all meet so.
+    """
+    share = least / (2 - least)
+    few = lambda c: least_shared(F.char_length(c), F.ceil(F.char_length(c) * share - 1e-9), least)
+    fits = (F.char_length("other") >= F.char_length("key") * share - 1e-9) & (F.char_length("key") >= F.char_length("other") * share - 1e-9)
+    mine, theirs = _grams(asked, "name", "key"), _grams(known, "canonical", "other")
+    seen = theirs.groupBy("gram").agg(F.count(F.lit(1)).alias("seen"))
+
+    def indexed(grams: DataFrame, name: str, key: str) -> DataFrame:
+        ranked = grams.join(seen, "gram", "left").groupBy(name, key).agg(F.array_sort(F.collect_list(F.struct(F.coalesce("seen", F.lit(0)).alias("seen"), "gram"))).alias("g"))
+        return ranked.select(name, key, F.col("g.gram").alias(f"{name}_grams")).where(few(key) >= 1)
+
+    def entries(table: DataFrame, name: str, key: str) -> DataFrame:
+        grams = F.col(f"{name}_grams")
+        return table.withColumn("gram", F.explode(F.slice(grams, F.lit(1), F.greatest(F.size(grams) - few(key) + 1, F.lit(0)))))
+
+    a, b = indexed(mine, "name", "key"), indexed(theirs, "canonical", "other")
+    met = entries(a, "name", "key").join(entries(b, "canonical", "other"), "gram").where(fits).drop("gram").distinct()
+    enough = F.size(F.array_intersect("name_grams", "canonical_grams")) >= least_shared(F.char_length("key"), F.char_length("other"), least)
+    long = met.where(enough).select("name", "key", "canonical", "other")
+    # A short key meets keys of any length that the ratio allows, whichever side it is on.
+    sized = lambda mine, theirs: mine.withColumn("size", F.explode(N.length_window(F.char_length("key"), least))).join(theirs.withColumn("size", F.char_length("other")), "size")
+    short = sized(asked.where(few("key") < 1), known).unionByName(sized(asked.where(few("key") >= 1), known.where(few("other") < 1)))
+    return long.unionByName(short.select("name", "key", "canonical", "other"))
+
+
 def one_to_one(old: DataFrame, new: DataFrame) -> DataFrame:
     """(old_id, new_id) of rows (id, scope, title, author) of both sides with the same scope and title, new_id null where none is left.
 

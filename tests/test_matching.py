@@ -1,5 +1,6 @@
 """Matching and sequence operators against plain Python, readers and writers by round trips, the window over a real stream."""
 
+import random
 import unicodedata
 from difflib import SequenceMatcher
 
@@ -37,6 +38,27 @@ def decided(name):
     return (best, "fuzzy") if -score >= M.LEAST_RATIO else (None, "new")
 
 
+def test_near_pairs_by_brute_force(spark):
+    r = random.Random(8)
+    word = lambda: "".join(r.choice("aeiklmnrst") for _ in range(r.randint(1, 9)))
+    known = sorted({f"{word()} {word()}" for _ in range(300)} | {"a", "ab", "", "é"})
+    asked = set()
+    for k in known:
+        x = list(k)
+        for _ in range(r.randint(1, 3)):
+            at = r.randrange(len(x) + 1)
+            x[at : at + r.randint(0, 1)] = r.choice(["", "q", "a"])
+        asked.add("".join(x))
+    asked |= {word() for _ in range(100)}
+    for least in (0.85, 0.75, 0.6):
+        pairs = M.near_pairs(spark.createDataFrame([(x, x) for x in asked], "name string, key string"), spark.createDataFrame([(x, x) for x in known], "canonical string, other string"), least).collect()
+        want = {(a, b) for a in asked for b in known if SequenceMatcher(None, a, b).ratio() >= least}
+        met = [(p.name, p.canonical) for p in pairs]
+        # Every pair of the ratio is met, none twice, and with a high ratio few others are.
+        assert want <= set(met) and len(met) == len(set(met))
+        assert least < 0.85 or (len(met) < 20 * len(want) and len(met) < 0.06 * len(asked) * len(known))
+
+
 def test_registry(spark):
     names = spark.createDataFrame([(n,) for n in [*ASKED, None, ASKED[0]]], "name string")
     got = M.registry_match(names, spark.createDataFrame([(n,) for n in KNOWN], "canonical string")).collect()
