@@ -74,3 +74,21 @@ def _(t):
     after = F.when(F.col("doc_id") % 3 == 0, spaced).otherwise(F.concat(F.substring("text", F.lit(1), n), F.lit("00"), F.substr("text", n + 1)))
     found = T.proved_edit(d.withColumn("after", after), "text", "after")
     return found.select("doc_id", "edit.refused", "edit.at", "edit.was", "edit.got", F.md5("edit.text").alias("kept"))
+
+
+@query("tidied_contacts", """WITH d AS (SELECT doc_id, doc_id % 4 AS v, replace(replace(replace(coalesce(text, ''), '&', '&amp;'), '<', '&lt;'), '>', '&gt;') AS body FROM documents)
+ SELECT doc_id, md5('<!-- <p>a@b.org<br>c</p> -->' || CASE v WHEN 0 THEN '<p>Prose<br/>line</p><p>' || regexp_replace(body, '[\\s]+$', '') || '</p><p><strong>Ann Clark</strong> writes. Contact: a' || doc_id || '@b.org</p><p><strong>Tom Lee</strong> too. Contact: t@b.org</p>'
+  WHEN 1 THEN '<p class="x"><strong>Ann Clark</strong> writes. Contact: a@b.org. https://e.org/' || doc_id || ' and more</p><p>' || body || '</p>' WHEN 2 THEN '<p>Write to a' || doc_id || '@b.org. https://e.org</p>'
+  ELSE '<p>Ann, a@b.org</p><p title="0000-0002-1825-0097">ORCID: 0000-0003-0000-000' || doc_id % 10 || '</p>' END) AS html FROM d""")
+def _(t):
+    from lectern.functions import markup as K
+    from lectern.operators import contacts as P
+
+    v, d, body = F.col("doc_id") % 4, F.col("doc_id"), K.escaped(F.coalesce("text", F.lit("")))
+    html = (
+        F.when(v == 0, F.concat(F.lit("<p>Prose<br/>line</p><p>"), body, F.lit(" <strong>Ann Clark</strong> writes.Contact: a"), d, F.lit("@b.org <strong>Tom Lee</strong> too. Contact: t@b.org</p>")))
+        .when(v == 1, F.concat(F.lit('<p class="x"><strong>Ann Clark</strong> writes.<br>Contact: a@b.org<br />https://e.org/'), d, F.lit(" <br>and more</p><p>"), body, F.lit("</p>")))
+        .when(v == 2, F.concat(F.lit("<p>Write to a"), d, F.lit("@b.orghttps://e.org</p>"))).otherwise(F.concat(F.lit('<p>Ann, a@b.org https://orcid.org/0000-0002-1825-0097.</p><p title="0000-0002-1825-0097">ORCID: 0000-0003-0000-000'), d % 10, F.lit("</p>")))
+    )
+    a = t("documents").select("doc_id", F.concat(F.lit("<!-- <p>a@b.org<br>c</p> -->"), html).alias("html"), F.array(F.lit("https://orcid.org/0000-0002-1825-0097/")).alias("orcids"))
+    return P.tidied(a, "html", "orcids").select("doc_id", F.md5("html").alias("html"))
