@@ -8,6 +8,7 @@ from lectern.functions import markup as K
 from lectern.functions import text as X
 from lectern.functions import wording as W
 from lectern.operators import articles as A
+from lectern.operators import extraction as E
 from lectern.plans.catalog import query
 
 TITLES = "(SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN '“' || p_name || '”,  ' || p_type WHEN 1 THEN upper(p_name) || '''s re-made: ' || p_brand WHEN 2 THEN '<i>' || p_name || '</i> • ' || p_brand ELSE p_name || ' & ' || p_type || '. ' END AS title FROM part)"
@@ -216,3 +217,27 @@ def _(t):
  string_agg(CASE WHEN category = 'note' THEN '<li>' || text || '</li>' END, '' ORDER BY position) || '</ol></div>' AS back FROM {ROWS} GROUP BY article""")
 def _(t):
     return A.back_matter(A.extracted(*_items(t)))
+
+
+# Whole articles round the documents' texts, in three shapes: with all sections; with inline notes; without references and with two biographies of one author.
+
+
+@query("whole_articles", f"""WITH d AS (SELECT doc_id AS article, doc_id % 3 AS v FROM documents), r AS (
+ SELECT article, 'provenance' AS category, 1 AS position, '{STATED}' AS text FROM d WHERE v <> 0 UNION ALL SELECT article, 'note', 2, '(1) First of ' || article FROM d WHERE v = 1 UNION ALL SELECT article, 'note', 3, '(2) Second of ' || article FROM d WHERE v = 1
+ UNION ALL SELECT article, 'note', 9, '{NOTED}' FROM d UNION ALL SELECT article, CASE WHEN v = 2 THEN 'citation' ELSE 'note' END, 10, '{CITED}' FROM d UNION ALL SELECT article, 'citation', 12, 'Roe, R. (19' || 50 + article % 40 || '). Rooms. Oxford: Sage.' FROM d WHERE v <> 2
+ UNION ALL SELECT article, 'bio', 14, '{HEADED} Contact: a' || article || '@example.org' FROM d UNION ALL SELECT article, 'bio', 17, 'Tom Lee is a psychotherapist in private practice in London. Contact: tom@example.org' FROM d
+ UNION ALL SELECT article, 'note', 19, 'Funding statement: none was received.' FROM d UNION ALL SELECT article, 'bio', 20, 'Dr Ann B. Clark is a psychotherapist in private practice in Oxford.' FROM d WHERE v = 2)
+ SELECT article, category, position, 0 AS part, text FROM r""")
+def _(t):
+    d, v = F.col("doc_id"), F.col("doc_id") % 3
+    block = lambda at, tag, text, when=None: F.when(F.lit(True) if when is None else when, F.struct(F.lit(at).alias("at"), F.lit(tag).alias("tag"), (F.lit(text) if isinstance(text, str) else text).alias("text")))
+    body = F.concat(F.lit("Lorem ipsum dolor sit amet, "), F.coalesce("text", F.lit("")))
+    blocks = F.array_compact(F.array(
+        block(1, "p", STATED, v != 0), block(2, "p", F.concat(F.lit("Notes: (1) First of "), d), v == 1), block(3, "p", F.concat(F.lit("(2) Second of "), d), v == 1), block(4, "p", "Ann Clark is a psychotherapist in private practice in London.", v == 2), block(5, "p", " "), block(6, "h2", "Opening"), block(7, "p", body),
+        block(8, "h2", "Notes"), block(9, "li", NOTED), block(10, "li", CITED), block(11, "h2", "References", v != 2), block(12, "li", F.concat(F.lit("Roe, R. (19"), 50 + d % 40, F.lit("). Rooms. Oxford: Sage.")), v != 2),
+        block(13, "h2", "About the Author"), block(14, "p", HEADED), block(15, "p", F.concat(F.lit("Contact a"), d, F.lit("@example.org"))), block(16, "h2", "Appendix"), block(17, "p", "Tom Lee is a psychotherapist in private practice in London."), block(18, "p", "Contact: tom@example.org"), block(19, "p", "Funding statement: none was received."),
+        block(20, "p", "Dr Ann B. Clark is a psychotherapist in private practice in Oxford.", v == 2), block(21, "p", body),
+    ))
+    rows = t("documents").select(d.alias("article"), F.inline(blocks))
+    authors = t("documents").select(d.alias("article"), F.explode(F.array(F.lit("Ann Clark"), F.lit("Tom Lee"))).alias("author"))
+    return E.extracted_whole(rows, authors)
