@@ -46,14 +46,15 @@ def events(markup: Column) -> Column:
 
     def of(token: Column) -> Column:
         name = F.lower(F.regexp_extract(token, r"^</?\s*([a-zA-Z][^\t\n\r\f />\x00]*)", 1))
+        begun = lambda tag: _event(F.when(tag.endswith("/>"), "empty").when(tag.endswith(">"), "start").otherwise("other"), name, tag)
         head = F.regexp_extract(token, f"^{_START}", 0)
         content = F.substr(token, F.char_length(head) + 1)
-        kind = F.when(~head.endswith(">"), "other").when(head.endswith("/>"), "empty").otherwise("start")
-        begun = F.when(content == "", F.array(_event(kind, name, head))).otherwise(F.array(_event(kind, name, head), _event("raw", F.lit(""), content)))
+        raw = F.when(content == "", F.array(begun(head))).otherwise(F.array(begun(head), _event("raw", F.lit(""), content)))
         ended = _event(F.when(token.endswith(">"), "end").otherwise("other"), name, token)
+        text = F.array(_event("text", F.lit(""), token))
         return (
-            F.when(token.rlike(r"^<[a-zA-Z]"), begun).when(token.rlike(r"^</\s*[a-zA-Z]"), F.array(ended)).when(token.rlike("^<[!?/]"), F.array(_event("other", F.lit(""), token)))
-            .otherwise(F.array(_event("text", F.lit(""), token)))
+            F.when(~token.startswith("<"), text).when(token.rlike(rf"^<(?i:{'|'.join(RAW_ELEMENTS)})[\s/>]"), raw).when(token.rlike("^<[a-zA-Z]"), F.array(begun(token)))
+            .when(token.rlike(r"^</\s*[a-zA-Z]"), F.array(ended)).when(token.rlike("^<[!?/]"), F.array(_event("other", F.lit(""), token))).otherwise(text)
         )
 
     return F.flatten(F.transform(tokens(markup), of))
@@ -105,17 +106,21 @@ def plain_text(markup: Column) -> Column:
     return F.translate(F.replace(unescaped(joined), F.lit("\ufdd0;"), F.lit("")), "\ufdd1", "&")
 
 
-def attributes(tag: Column) -> Column:
-    """Structs of name (lower case) and value of a start tag's attributes in order, references replaced; the value is '' where there is none."""
+def _pairs(tag: Column, decoded: bool) -> Column:
     inner = F.regexp_replace(tag, r"^<[a-zA-Z][^\t\n\r\f />\x00]*+", "")
 
     def of(pair: Column) -> Column:
         value = F.regexp_replace(F.regexp_replace(pair, r"^[^\s=]+\s*=*[\s=]*", ""), r"""(?s)^(["'])(.*)\1$""", "$2")
-        return F.struct(F.lower(F.regexp_extract(pair, r"^[^\s=]+", 0)).alias("name"), unescaped(value).alias("value"))
+        return F.struct(F.lower(F.regexp_extract(pair, r"^[^\s=]+", 0)).alias("name"), (unescaped(value) if decoded else value).alias("value"))
 
     return F.transform(F.regexp_extract_all(inner, F.lit(_ATTRIBUTE), F.lit(0)), of)
 
 
+def attributes(tag: Column) -> Column:
+    """Structs of name (lower case) and value of a start tag's attributes in order, references replaced; the value is '' where there is none."""
+    return _pairs(tag, True)
+
+
 def value_of(found: Column, name: str) -> Column:
     """Value of the first attribute of that name among those of `attributes`; null if there is none."""
     return F.get(F.filter(found, lambda a: a["name"] == name), F.lit(0))["value"]
@@ -137,16 +142,19 @@ def links(markup: Column) -> Column:
     Tags between the end of a link and the next text don't separate words, as a text extractor drops them. The stream is
     flattened to text with marks, an address is moved behind its label, and runs of marks are zipped with the text after them.
     """
-    plain = lambda s: F.translate(s, "\ufdd0\ufdd1\ufdd2\ufdd3\ufdd4\ufdd5", "")
+    plain = lambda s: F.translate(s, "\ufdd0\ufdd1\ufdd2\ufdd3\ufdd4\ufdd5\ufdd6", "")
 
-    def flat(e: Column) -> Column:
-        opening = (e["kind"] == "start") & (e["name"] == "a")
+    def flat(t: Column) -> Column:
+        address = F.concat(F.lit("\ufdd0"), plain(F.coalesce(value_of(_pairs(t, False), "href"), F.lit(""))), F.lit("\ufdd1"))
+        # Content of raw elements has no references: its ampersands are put aside.
+        raw = F.concat(F.lit(_TAG), F.replace(plain(F.regexp_replace(t, f"^{_START}", "")), F.lit("&"), F.lit("\ufdd6")))
         return (
-            F.when(opening, F.concat(F.lit("\ufdd0"), plain(F.coalesce(attribute(e["source"], "href"), F.lit(""))), F.lit("\ufdd1"))).when((e["kind"] == "end") & (e["name"] == "a"), F.lit("\ufdd5"))
-            .when(e["kind"].isin("text", "raw"), plain(F.when(e["kind"] == "text", unescaped(e["source"])).otherwise(e["source"]))).otherwise(F.lit(_TAG))
+            F.when(~t.startswith("<") | ~t.rlike("^<[a-zA-Z/!?]"), plain(t)).when(t.rlike(r"^<[aA][\s/>]") & ~t.rlike(r"/>$|[^>]$"), address).when(t.rlike(r"^</\s*[aA](?:\s[^>]*)?>$"), "\ufdd5")
+            .when(t.rlike(rf"^<(?i:{'|'.join(RAW_ELEMENTS)})[\s/>]"), raw).otherwise(F.lit(_TAG))
         )
 
-    stream = F.array_join(F.transform(events(markup), flat), "")
+    # References are replaced once for the whole stream, addresses and labels alike; none decodes to a mark.
+    stream = F.translate(unescaped(F.array_join(F.transform(tokens(markup), flat), "")), "\ufdd6", "&")
     moved = F.regexp_replace(stream, "\ufdd0([^\ufdd1]*+)\ufdd1([^\ufdd0\ufdd5]*+)\ufdd5", f"{_TAG}$2{_LINK}$1\ufdd0$2{_ADDRESS}")
     moved = F.regexp_replace(moved, "\ufdd0[^\ufdd1\ufdd4]*+\ufdd1|\ufdd5", _TAG)
     runs, after = F.regexp_extract_all(moved, F.lit(f"(?:{_MARKS})++"), F.lit(0)), F.split(moved, f"(?:{_MARKS})++")

@@ -110,7 +110,7 @@ def test_balanced_markup_is_well_formed_and_keeps_its_text(spark, generated):
         assert re.sub(r"\s", "", html.unescape(dropped)) == re.sub(r"\s", "", html.unescape("".join(Reader(row.html).data))), row.html
         changed += row.b != row.html
     again = spark.createDataFrame([(r.b,) for r in rows], "b string").select("b", K.balanced(F.col("b")).alias("c")).collect()
-    assert changed > 1000 and all(r.b == r.c for r in again)
+    assert changed > 300 and all(r.b == r.c for r in again)
 
 
 def test_nesting(spark):
