@@ -62,7 +62,7 @@ def extracted(items: DataFrame, authors: DataFrame, key: str = "article") -> Dat
     """(article, category, position, text): citations, notes, bios and provenance of articles, each item in one category.
 
     items are (article, position, heading, text) of sections at an article's end; authors are (article, author). A contact
-    line right behind a bio (or another contact) belongs to it; a citation of several collapsed references is split. Blank
+    line right behind a bio, or behind another contact under the same heading, belongs to it; a citation of several collapsed references is split. Blank
     items and bare author names are left out.
     """
     by = authors.groupBy(key).agg(F.collect_set(F.lower("author")).alias("authors"))
@@ -72,7 +72,8 @@ def extracted(items: DataFrame, authors: DataFrame, key: str = "article") -> Dat
     kind = rows.withColumn("contact", C.is_contact(F.col("text"))).withColumn("kind", routed(F.col("text"), F.col("heading"), F.col("authors"), F.coalesce("separate", F.lit(False)))).where("kind != 'drop'")
     # A bio begins a group; contacts go on with it. Anything else begins one of its own.
     order = own.orderBy("position")
-    joins = F.col("contact") & (F.lag("kind").over(order) == "bio") | (F.col("contact") & F.lag("contact").over(order))
+    follows = F.lag("contact").over(order) & F.lag("heading").over(order).eqNullSafe(F.col("heading"))
+    joins = F.col("contact") & ((F.lag("kind").over(order) == "bio") | follows)
     grouped = kind.withColumn("group", F.sum(F.when(F.coalesce(joins, F.lit(False)), 0).otherwise(1)).over(order.rowsBetween(Window.unboundedPreceding, 0)))
     said = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("position", "text"))), lambda x: x["text"]), " ")
     merged = grouped.groupBy(key, "group").agg(F.min("position").alias("position"), F.min_by("kind", "position").alias("kind"), F.max("contact").alias("contact"), said.alias("text"))

@@ -136,10 +136,14 @@ def _(t):
     return t("documents").select("doc_id", F.array_join(lines, "\n").alias("text")).select("doc_id", F.round(W.wrap_ratio(F.col("text")), 6).alias("ratio"))
 
 
-@query("reflowed", "SELECT doc_id, 'One two three.|Four.|five six' AS paragraphs FROM documents")
+@query("reflowed", f"""WITH l AS (SELECT doc_id, list_filter(string_split('THE RUNNING-HEAD' || chr(10) || text, chr(10)), lambda x: NOT regexp_full_match(trim(x), '[0-9]{{1,4}}') AND regexp_replace(regexp_replace(x, '<[^>]+>', '', 'g'), '[\\s•-]', '', 'g') <> 'THERUNNINGHEAD') AS l FROM {WRAPPED}),
+ j AS (SELECT doc_id, array_to_string(list_transform(l, lambda x: CASE WHEN trim(x) = '' THEN chr(10) WHEN x LIKE '% ' THEN x ELSE x || chr(10) END), '') AS j FROM l),
+ p AS (SELECT doc_id, list_filter(list_transform(string_split(j, chr(10)), lambda x: trim(x)), lambda x: x <> '') AS p FROM j) SELECT doc_id, len(p) AS paragraphs, md5(array_to_string(p, '|')) AS digest FROM p WHERE p IS NOT NULL""")
 def _(t):
-    text = F.lit("One two \n12\nTHE RUNNING HEAD\nthree.\n\nFour.\n five \nsix ")
-    return t("documents").select("doc_id", F.array_join(W.paragraphs(text, F.array(F.lit("THERUNNINGHEAD"))), "|").alias("paragraphs"))
+    lines = F.transform(F.split("text", "\n"), lambda x, i: F.when((i + 1) % 3 == 0, F.trim(x)).when((i + 1) % 7 == 0, (i + 1).cast("string")).otherwise(F.concat(F.trim(x), F.lit(" "))))
+    text = F.concat(F.lit("THE RUNNING-HEAD\n"), F.array_join(lines, "\n"))
+    found = t("documents").where("text is not null").select("doc_id", W.paragraphs(text, F.array(F.lit("THERUNNINGHEAD"))).alias("p"))
+    return found.select("doc_id", F.size("p").cast("long").alias("paragraphs"), F.md5(F.array_join("p", "|")).alias("digest"))
 
 
 @query("clean_headings", "SELECT p_partkey, '<h2>The Art of ' || upper(p_name[1]) || p_name[2:] || '</h2><p>KEPT<sup>1</sup></p><h3><em>' || upper(p_brand) || '</em></h3>' AS html FROM (SELECT p_partkey, split_part(p_name, ' ', 1) AS p_name, p_brand FROM part)")

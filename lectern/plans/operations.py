@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from lectern.operators import operations as P
 from lectern.operators import rows as O
@@ -102,7 +103,6 @@ def _(t):
 
 @query("notes_by_number", """SELECT turn, conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY coalesce(CASE WHEN turn % 3 <> 0 THEN 9 - turn END, 1000000), turn) AS place FROM conversations""")
 def _(t):
-    from pyspark.sql.window import Window
 
     note = t("conversations").withColumn("number", F.when(F.col("turn") % 3 != 0, 9 - F.col("turn")))
     return note.select("turn", "conv_id", F.row_number().over(Window.partitionBy("conv_id").orderBy(F.col("number").asc_nulls_last(), "turn")).cast("long").alias("place"))
@@ -222,10 +222,8 @@ def _(t):
  UNION ALL SELECT 'lang', lang, n, row_number() OVER (ORDER BY n DESC, lang) FROM (SELECT lang, count(*) AS n FROM documents GROUP BY 1)""")
 def _(t):
     def facet(name):
-        n = t("documents").groupBy(F.col(name).alias("value")).agg(F.count(F.lit(1)).alias("n"))
-        # Values of a facet are few; they are put in order as one array.
-        rows = n.agg(F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("m"), "value"))).alias("r")).select(F.posexplode("r").alias("pos", "r"))
-        return rows.select(F.lit(name).alias("facet"), "r.value", (-F.col("r.m")).alias("n"), (F.col("pos") + 1).cast("long").alias("place"))
+        n = t("documents").groupBy(F.col(name).alias("value")).agg(F.count(F.lit(1)).alias("n")).withColumn("facet", F.lit(name))
+        return n.select("facet", "value", "n", F.row_number().over(Window.partitionBy("facet").orderBy(F.desc("n"), "value")).cast("long").alias("place"))
 
     return facet("source").union(facet("lang"))
 
