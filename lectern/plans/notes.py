@@ -92,3 +92,43 @@ def _(t):
     )
     a = t("documents").select("doc_id", F.concat(F.lit("<!-- <p>a@b.org<br>c</p> -->"), html).alias("html"), F.array(F.lit("https://orcid.org/0000-0002-1825-0097/")).alias("orcids"))
     return P.tidied(a, "html", "orcids").select("doc_id", F.md5("html").alias("html"))
+
+
+# ------------------------------------------------------------------------------------------------ records
+
+
+@query("record_validation", """WITH p AS (SELECT p_partkey, p_partkey % 11 AS k, p_name FROM part), r AS (SELECT p_partkey, unnest(list_filter([CASE WHEN k = 1 THEN 'missing title' END, CASE WHEN k IN (2, 3) THEN 'missing authors' END, CASE WHEN k = 4 THEN 'unknown access' END,
+ CASE WHEN k IN (3, 5) THEN 'orcid of no author: Ann Clark' END, CASE WHEN k IN (5, 6) THEN 'orcid of no shape: Ann Clark' END, CASE WHEN k = 7 THEN 'pages run backwards' END, CASE WHEN k = 8 THEN 'review without book_title' END, CASE WHEN k = 8 THEN 'review without book_year' END,
+ CASE WHEN k = 8 THEN 'publisher cut off' END, CASE WHEN k = 10 THEN 'issue: no articles' END, CASE WHEN k = 0 THEN 'issue: missing date' END], lambda x: x IS NOT NULL)) AS problem FROM p) SELECT p_partkey, problem FROM r""")
+def _(t):
+    from lectern.operators import records as R
+
+    k, null = F.col("p_partkey") % 11, F.lit(None).cast("string")
+    orcid = F.when(k.isin(5, 6), F.concat(F.lit("0000-0001-"), F.col("p_partkey"))).otherwise("https://orcid.org/0000-0002-1825-009X")
+    a = {
+        "title": F.when(k == 1, null).when(k == 9, F.concat("p_name", F.lit(" / Other"))).otherwise(F.col("p_name")), "authors": F.when(k.isin(2, 3), null).when(k == 5, "Tom Lee").otherwise("Tom Lee and Ann Clark"), "section": F.when(k.isin(8, 9), "Book Reviews").otherwise("Articles"),
+        "pdf_page_start": F.when(k == 7, 9).otherwise(3), "pdf_page_end": F.lit(7), "access": F.when(k == 4, F.col("p_brand")).when(k == 5, " Open "), "orcids": F.when(k.isin(3, 5, 6, 7), F.create_map(F.lit("Ann Clark"), orcid)),
+        "book_title": F.when(k == 8, ""), "book_author": F.when(k == 8, "Doe"), "book_year": F.lit(None).cast("int"), "publisher": F.when(k == 8, "London: ").otherwise("London: Sage"),
+    }
+    issue = {"volume": F.lit(1), "date": F.when(k != 0, "2001-02-03"), "articles": F.when(k == 10, F.array().cast("array<string>")).otherwise(F.array("p_name"))}
+    found = F.concat(R.article_problems(a), F.transform(R.issue_problems(issue), lambda x: F.concat(F.lit("issue: "), x)))
+    return t("part").select("p_partkey", F.explode(found).alias("problem"))
+
+
+@query("patch_plan", """WITH p AS (SELECT p_partkey AS id, p_partkey % 8 AS k, p_name, p_brand FROM part)
+ SELECT id, 'blocked' AS action, 'article' AS field, NULL::INTEGER AS place, NULL AS was, NULL AS becomes FROM p WHERE k = 0 UNION ALL SELECT id, 'update', 'title', NULL, p_name || '!', p_name FROM p WHERE k IN (1, 2) UNION ALL SELECT id, 'blocked', 'authors', NULL, '1', '2' FROM p WHERE k = 2
+ UNION ALL SELECT id, 'update', 'given', 0, 'Anne', 'Ann' FROM p WHERE k = 3 UNION ALL SELECT id, 'update', 'orcid', 1, NULL, p_brand FROM p WHERE k = 4 UNION ALL SELECT id, 'update', 'holder', NULL, 'Anne Clark (Author)', 'Ann Clark (Author)' FROM p WHERE k = 3 UNION ALL SELECT id, 'update', 'family', 1, 'Li', 'Lee' FROM p WHERE k = 5
+ UNION ALL SELECT id, 'blocked', 'abstract', NULL, NULL, NULL FROM p WHERE k = 6""")
+def _(t):
+    from lectern.operators import records as R
+
+    k, null = F.col("id") % 8, F.lit(None).cast("string")
+    author = lambda given, family, orcid: F.struct(*[(F.lit(x) if isinstance(x, str) else x).alias(n) for n, x in (("given", given), ("family", family), ("orcid", orcid))])
+    p = t("part").select(F.col("p_partkey").alias("id"), "p_name", "p_brand")
+    wanted = p.select("id", F.col("p_name").alias("title"), F.col("p_brand").alias("abstract"), F.array(author("Ann", "Clark", null), author("Tom", "Lee", F.when(k == 4, F.col("p_brand")).otherwise(""))).alias("authors"))
+    second = author("Tom", F.when(k == 5, "Li").otherwise("Lee"), F.when(k == 7, "kept"))
+    held = p.where("id % 8 <> 0").select(
+        "id", F.when(k.isin(1, 2), F.concat("p_name", F.lit("!"))).otherwise(F.col("p_name")).alias("title"), F.when(k == 6, "another").when(k == 7, "").otherwise(F.col("p_brand")).alias("abstract"),
+        F.when(k == 2, F.array(author("Ann", "Clark", null))).otherwise(F.array(author(F.when(k == 3, "Anne").otherwise("Ann"), "Clark", null), second)).alias("authors"), F.when(k == 3, "Anne Clark (Author)").when(k == 4, "").otherwise("Ann Clark (Author)").alias("holder"),
+    )
+    return R.patch_plan(wanted, held)
