@@ -9,6 +9,7 @@ from lectern.operators import operations as P
 from lectern.operators import rows as O
 from lectern.operators import similarity as V
 from lectern.plans.catalog import COSINE, query
+from lectern.streaming import rechecks
 
 
 @query("composed_filters", "SELECT event_id FROM events WHERE event_type = 'click' AND contains(props, '\"k\": 6') AND ts >= TIMESTAMP '2024-01-03 00:00:00' AND ts <= TIMESTAMP '2024-01-12 23:59:59'")
@@ -260,3 +261,14 @@ def _(t):
 @query("set_difference", "SELECT DISTINCT c_nationkey FROM customer WHERE c_nationkey NOT IN (SELECT s_nationkey FROM supplier WHERE s_acctbal > 5000)")
 def _(t):
     return O.difference(t("customer").select("c_nationkey").distinct(), t("supplier").where("s_acctbal > 5000").select(F.col("s_nationkey").alias("c_nationkey")), ["c_nationkey"])
+
+
+# ------------------------------------------------------------------------------------------------ deferred checks
+
+
+@query("expiry_checks", """WITH RECURSIVE s AS (SELECT CAST(user_id AS VARCHAR) AS u, epoch_us(ts) AS at_us, CASE event_type WHEN 'purchase' THEN 1 ELSE -1 END AS step FROM events WHERE event_type IN ('purchase', 'error')), e AS (SELECT DISTINCT u, at_us FROM s WHERE step < 0),
+ r AS (SELECT u, min(at_us) AS at_us FROM e GROUP BY u UNION ALL SELECT r.u, min(e.at_us) FROM r JOIN e ON e.u = r.u AND e.at_us > r.at_us + 86400000000 GROUP BY r.u, r.at_us)
+ SELECT u AS "user", r.at_us + 86400000000 AS due, (SELECT CAST(sum(step) AS BIGINT) FROM s WHERE s.u = r.u AND s.at_us <= r.at_us + 86400000000) AS active, (SELECT sum(step) FROM s WHERE s.u = r.u AND s.at_us <= r.at_us + 86400000000) <= 0 AS expired FROM r""")
+def _(t):
+    starts = F.when(F.col("event_type") == "purchase", True).when(F.col("event_type") == "error", False)
+    return rechecks.rechecks(t("events"), "user_id", "ts", starts, delay=86_400).select("user", F.unix_micros("due").alias("due"), "active", "expired")
