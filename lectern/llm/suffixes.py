@@ -4,8 +4,8 @@ A 50-byte string's anchor is the substring of GRAM bytes in it with the smallest
 strings have equal anchors. Chunks exchange packed sets of anchors (see hashing); strings whose anchor stands in one
 document only are in no other. Neighbouring strings with one anchor form a segment. Segments of one anchor meet in a
 bucket, are joined to short texts and ordered by suffix arrays (linear grouping construction, see gsaca): strings that are
-equal are neighbours there. The smallest document of each goes back to the chunks. Strings are compared byte by byte, so
-no hash decides what is equal.
+equal are neighbours there. The smallest document of each goes back to the chunks. Strings in order are compared byte by
+byte; segments that repeat, and strings met in several texts of one anchor, are first told apart by 64-bit hashes.
 """
 
 from __future__ import annotations

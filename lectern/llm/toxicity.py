@@ -1,9 +1,10 @@
 """Toxicity: a weighted finite-state pattern grammar over clauses.
 
-Four small transducers read a text. The insult and threat transducers are tries over letters, learnt from labelled rows: a
-word is accepted with the weight of its longest known stem. Target, negation and reported-speech transducers accept short
+Small transducers read a text. Insults and threats share one trie over letters, learnt from labelled rows: a word is
+accepted with the weight of its longest known stem, and a threat in words that are ordinary one by one isn't found by its
+wording. Target, negation and reported-speech transducers accept short
 fixed word lists of the four languages. A clause transducer composes them: reading a clause's symbols from left to right it
-keeps a state (negation open, report open, target seen), and a matched insult or threat gives its weight, changed by the
+keeps a state (negation open, report open, target seen), and a matched stem gives its weight, changed by the
 state. A document's score is a logistic function, also learnt, of its clauses' weights.
 """
 
