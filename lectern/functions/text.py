@@ -31,8 +31,13 @@ def truncated(c: Column, most: int = 1000, mark: str = "...[truncated]") -> Colu
 
 
 def leading_number(c: Column) -> Column:
-    """The number that starts a note, or null."""
-    return F.nullif(F.regexp_extract(c, "^ *([0-9]{1,4})[.)]? ", 1), F.lit("")).cast("int")
+    """The number that starts a note and is followed by a full stop, a bracket or a blank; null without one, or beyond a long."""
+    return F.nullif(F.regexp_extract(c, r"^(\d+)[.)\s]", 1), F.lit("")).try_cast("long")
+
+
+def without_number(c: Column) -> Column:
+    """A note without the number (of three digits at most) that starts it, bare or in brackets."""
+    return F.regexp_replace(F.regexp_replace(c, r"^(?:\(\d{1,3}\)\s*|\d{1,3}[.)\s]+)", ""), r"^\s+|\s+$", "")
 
 
 def word_overlap(a: Column, b: Column) -> Column:
@@ -49,9 +54,23 @@ def title_similarity(title: Column, text: Column) -> Column:
     return F.when((title == "") | (text == ""), 0.0).when(F.size(w) < 2, share * 0.5).when(F.contains(text, title), 1.0).otherwise(share)
 
 
-def sentence_count(c: Column) -> Column:
-    """Full stops before a blank and a capital, less usual abbreviations, none below 0."""
-    return F.greatest(F.lit(0), F.regexp_count(c, F.lit("[.!?] +[A-Z]")) - F.regexp_count(c, F.lit("\\b(?:Dr|Mr|Mrs|Ms|Prof|St|vol|no|pp|ed|eds|vs|etc)\\. +[A-Z]")))
+#: Words that say nothing about a title, and the shares of the others from which on a text passes or is suspect.
+TITLE_STOP_WORDS = (
+    "a", "an", "and", "the", "of", "in", "on", "to", "for", "is", "it", "by", "at", "or", "as", "from", "with", "its", "not", "be", "are", "was", "but", "no", "if", "we", "our", "has", "had", "how", "when",
+    "what", "who", "which", "that", "this", "my", "me", "can", "book", "review", "reviews", "editorial", "obituary",
+)
+TITLE_PASS, TITLE_WARN = 0.6, 0.3
+
+
+def title_verdict(title: Column, text: Column) -> Column:
+    """Struct(status, matched, total, missing): how many of the title's telling words (three letters or more) the text holds; pass, warn or fail. A title without such words passes; a null one, or a null text, counts as empty."""
+    low = F.lower(F.coalesce(text, F.lit("")))
+    bare = F.regexp_replace(F.coalesce(title, F.lit("")), r"(?i)^(?:Book Review|Obituary)\s*:\s*", "")
+    words = F.filter(F.regexp_extract_all(F.lower(bare), F.lit("[a-z]+"), F.lit(0)), lambda w: (F.char_length(w) > 2) & ~w.isin(*TITLE_STOP_WORDS))
+    missing = F.filter(words, lambda w: ~F.contains(low, w))
+    total, matched = F.size(words), F.size(words) - F.size(missing)
+    share = F.when(total == 0, 1.0).otherwise(matched / total)
+    return F.struct(F.when(share >= TITLE_PASS, "pass").when(share >= TITLE_WARN, "warn").otherwise("fail").alias("status"), matched.alias("matched"), total.alias("total"), missing.alias("missing"))
 
 
 def person(c: Column) -> Column:

@@ -99,3 +99,16 @@ def positional(left: DataFrame, right: DataFrame, key: str, order: str) -> DataF
         return df.withColumn("place", F.row_number().over(w.orderBy(order))).withColumn("size", F.count(F.lit(1)).over(w))
 
     return placed(left).alias("l").join(placed(right).alias("r"), [key, "place", "size"])
+
+
+def most_common(df: DataFrame, value: str, n: int) -> DataFrame:
+    """(value, n) of the n most frequent values, ties to the smaller value; null is no value."""
+    return df.where(F.col(value).isNotNull()).groupBy(value).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), value).limit(n)
+
+
+def in_any(df: DataFrame, key: str, *others: DataFrame) -> DataFrame:
+    """Rows of df whose key occurs in one of the others (each with a column of that name), once each; null keys occur nowhere."""
+    keys = others[0].select(key)
+    for other in others[1:]:
+        keys = keys.unionByName(other.select(key))
+    return df.join(keys.distinct(), key, "left_semi")

@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
+from lectern.functions import text as X
 from lectern.operators import notes as T
+from lectern.operators import rows as O
 from lectern.plans.catalog import query
 
 # Lines of an order are markers in order, quantities their numbers; lines that weren't returned have a note, and each order has a note 99.
@@ -94,6 +97,47 @@ def _(t):
     return P.tidied(a, "html", "orcids").select("doc_id", F.md5("html").alias("html"))
 
 
+# ------------------------------------------------------------------------------------------------ numbers and titles in texts
+
+NUMBERED = "(SELECT conv_id, turn, CASE hash_of % 4 WHEN 0 THEN (hash_of % 97) || '. ' || text WHEN 1 THEN (hash_of % 97) || ')' || text WHEN 2 THEN '(' || hash_of % 97 || ') ' || text ELSE text END AS note FROM (SELECT *, conv_id * 31 + turn * 17 AS hash_of FROM conversations))"
+
+
+@query("numbered_texts", f"""SELECT conv_id, turn, try_cast(nullif(regexp_extract(note, '^(\\d+)[.)\\s]', 1), '') AS BIGINT) AS number, md5(regexp_replace(regexp_replace(note, '^(\\(\\d{{1,3}}\\)\\s*|\\d{{1,3}}[.)\\s]+)', ''), '^\\s+|\\s+$', '', 'g')) AS plain,
+ row_number() OVER (PARTITION BY conv_id ORDER BY coalesce(try_cast(nullif(regexp_extract(note, '^(\\d+)[.)\\s]', 1), '') AS BIGINT), 9223372036854775807), turn) AS place FROM {NUMBERED}""")
+def _(t):
+    h = F.col("conv_id") * 31 + F.col("turn") * 17
+    n = h % 97
+    note = F.when(h % 4 == 0, F.concat(n, F.lit(". "), "text")).when(h % 4 == 1, F.concat(n, F.lit(")"), "text")).when(h % 4 == 2, F.concat(F.lit("("), n, F.lit(") "), "text")).otherwise(F.col("text"))
+    rows = t("conversations").select("conv_id", "turn", note.alias("note")).withColumn("number", X.leading_number(F.col("note")))
+    order = Window.partitionBy("conv_id").orderBy(F.col("number").asc_nulls_last(), "turn")
+    return rows.select("conv_id", "turn", "number", F.md5(X.without_number(F.col("note"))).alias("plain"), F.row_number().over(order).cast("long").alias("place"))
+
+
+STOPS = ", ".join(f"'{w}'" for w in X.TITLE_STOP_WORDS)
+
+
+@query("title_verdicts", f"""WITH w AS (SELECT doc_id, lower(substr(text, 1 + (doc_id % 5)::INTEGER * 40)) AS low, list_filter(regexp_extract_all(lower(regexp_replace('Obituary: ' || left(text, 90), '^(Book Review|Obituary)\\s*:\\s*', '', 'i')), '[a-z]+'), lambda x: length(x) > 2 AND x NOT IN ({STOPS})) AS w FROM documents WHERE text IS NOT NULL),
+ m AS (SELECT doc_id, len(w) AS total, list_filter(w, lambda x: NOT contains(low, x)) AS missing FROM w)
+ SELECT doc_id, CASE WHEN total = 0 OR (total - len(missing)) / total >= 0.6 THEN 'pass' WHEN (total - len(missing)) / total >= 0.3 THEN 'warn' ELSE 'fail' END AS status, (total - len(missing))::INTEGER AS matched, total::INTEGER AS total, array_to_string(missing, ',') AS missing FROM m""")
+def _(t):
+    title = F.concat(F.lit("Obituary: "), F.substring("text", 1, 90))
+    v = X.title_verdict(title, F.substr("text", (1 + (F.col("doc_id") % 5) * 40).cast("int")))
+    found = t("documents").where("text is not null").select("doc_id", v.alias("v"))
+    return found.select("doc_id", "v.status", "v.matched", "v.total", F.array_join("v.missing", ",").alias("missing"))
+
+
+@query("common_parts", "SELECT l_partkey, count(*) AS n FROM lineitem WHERE l_partkey IS NOT NULL GROUP BY 1 ORDER BY n DESC, l_partkey LIMIT 25")
+def _(t):
+    return O.most_common(t("lineitem"), "l_partkey", 25)
+
+
+@query("staff_or_active", "SELECT c_custkey FROM customer c WHERE EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_totalprice > 200000) OR EXISTS (SELECT 1 FROM nation JOIN region ON n_regionkey = r_regionkey WHERE n_nationkey = c_nationkey AND r_name = 'ASIA')")
+def _(t):
+    active = t("orders").where("o_totalprice > 200000").select(F.col("o_custkey").alias("c_custkey"))
+    near = t("nation").join(t("region").where("r_name = 'ASIA'"), F.col("n_regionkey") == F.col("r_regionkey")).select(F.col("n_nationkey").alias("c_nationkey"))
+    return O.in_any(t("customer"), "c_custkey", active, t("customer").join(near, "c_nationkey", "left_semi")).select("c_custkey")
+
+
 # ------------------------------------------------------------------------------------------------ records
 
 
