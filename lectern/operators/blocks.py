@@ -5,6 +5,8 @@ All native; a block array is one article, so nothing is shuffled. Null blocks gi
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -12,6 +14,8 @@ from lectern.functions import citations as C
 from lectern.functions import text as X
 from lectern.functions.wording import phrase_end
 
+Key = Callable[[Column], Column]
+
 # Fixed values ---------------------------------------------------------------------------------------------------------
 TITLE_RATIO, TITLE_SHARE, FUZZY_SHARE = 2, 0.5, 0.8
 LEAST_TARGET, LEAST_OPENING, LEAST_CONTENT, TAIL = 5, 10, 100, 0.4
@@ -21,7 +25,6 @@ PREFIX = r"^(?:Book Reviews?|Film Review|Exhibition Report|Poem|Personally Speak
 SECOND_PREFIX = r"^(?:Professor|Prof\.?)\s*:?\s*"
 SECTION_HEADS = ("letters to the editors", "letters to the editor", "letter to the editors", "letter to the editor", "letters", "editorial", "book reviews", "book review editorial", "obituary")
 REVIEWS = ("Book Reviews", "Book Review")
-BULLET = r"^\s*[*★☆●•]\s*"
 # ----------------------------------------------------------------------------------------------------------------------
 
 
@@ -31,6 +34,11 @@ def bare_title(title: Column) -> Column:
     return F.regexp_replace(C.strip(F.regexp_replace(once, f"(?iU){SECOND_PREFIX}", "")), r"(?U)\s*\([^)]+\)\s*$", "")
 
 
+def squashed(b: Column) -> Column:
+    """What titles are compared with; a block that holds it already, as `key`, is read by another function given as `key`."""
+    return X.squash(b["text"])
+
+
 def _heading(b: Column) -> Column:
     return b["tag"].isin(*HEADINGS)
 
@@ -44,25 +52,25 @@ def _from(blocks: Column, place: Column) -> Column:
     return F.slice(blocks, place, F.greatest(F.size(blocks), F.lit(0)))
 
 
-def without_title(blocks: Column, title: Column) -> Column:
+def without_title(blocks: Column, title: Column, key: Key = squashed) -> Column:
     """Without the leading short or heading blocks that share words with the title, if together they have over half of its words."""
     said = F.array_distinct(C.words(X.squash(title)))
-    shared = lambda b: F.array_intersect(said, C.words(X.squash(b["text"])))
-    short = lambda b: F.char_length(X.squash(b["text"])) <= F.char_length(X.squash(title)) * TITLE_RATIO
-    stop = _first(blocks, lambda b, _: ~F.coalesce((F.size(shared(b)) > 0) & (short(b) | _heading(b)) & ~C.is_provenance(b["text"]), F.lit(False)))
+    shared = lambda b: F.array_intersect(said, C.words(key(b)))
+    short = lambda b: F.char_length(key(b)) <= F.char_length(X.squash(title)) * TITLE_RATIO
+    stop = _first(blocks, lambda b, _: ~F.coalesce((_heading(b) | short(b)) & (F.size(shared(b)) > 0) & ~C.is_provenance(b["text"]), F.lit(False)))
     n = F.when(stop > 0, stop - 1).otherwise(F.size(blocks))
     have = F.size(F.array_distinct(F.flatten(F.transform(F.slice(blocks, F.lit(1), F.greatest(n, F.lit(0))), shared))))
     return F.when(have > F.size(said) * TITLE_SHARE, _from(blocks, n + 1)).otherwise(blocks)
 
 
-def from_title(blocks: Column, title: Column) -> Column:
+def from_title(blocks: Column, title: Column, key: Key = squashed) -> Column:
     """From the first block that holds the title on; all blocks if none does or the title is shorter than five characters."""
     want = X.squash(bare_title(title))
-    at = _first(blocks, lambda b, _: (want != "") & F.contains(X.squash(b["text"]), want))
+    at = _first(blocks, lambda b, _: (want != "") & F.contains(key(b), want))
     return F.when((F.char_length(title) >= LEAST_TARGET) & (at > 0), _from(blocks, at)).otherwise(blocks)
 
 
-def until_next(blocks: Column, title: Column, following: Column) -> Column:
+def until_next(blocks: Column, title: Column, following: Column, key: Key = squashed) -> Column:
     """Up to the block in which the following article begins.
 
     After the last back-matter heading, headings and what follows a further heading are searched for the title's words in
@@ -71,7 +79,7 @@ def until_next(blocks: Column, title: Column, following: Column) -> Column:
     """
     tight = lambda c: F.regexp_replace(F.lower(c), "[^a-z0-9]", "")
     said = C.words(X.squash(bare_title(following)))
-    holds = lambda b: phrase_end(C.words(X.squash(b["text"])), said) >= 0
+    holds = lambda b: phrase_end(C.words(key(b)), said) >= 0
     back = lambda b: F.coalesce(C.heading_class(C.strip(b["text"])) != "bio", F.lit(False))
     last = F.coalesce(F.array_max(F.filter(F.transform(blocks, lambda b, i: F.when(b["tag"].isin("h2", "h3") & back(b), i + 1)), lambda x: x.isNotNull())), F.lit(0))
     other = _first(blocks, lambda b, i: (i > last) & _heading(b) & ~back(b))
@@ -79,7 +87,8 @@ def until_next(blocks: Column, title: Column, following: Column) -> Column:
     want = tight(following)
 
     def begins(b: Column) -> Column:
-        body = tight(F.regexp_replace(b["text"], BULLET, ""))
+        # Squashing drops what introduces a review, too.
+        body = F.replace(key(b), F.lit(" "), F.lit(""))
         least = F.least(F.char_length(want), F.char_length(body))
         return (least >= LEAST_OPENING) & (F.substring(body, F.lit(1), least) == F.substring(want, F.lit(1), least))
 

@@ -73,19 +73,19 @@ def _body_start(blocks: Column) -> Column:
     return F.when(at > 0, at).otherwise(F.size(blocks) + 1)
 
 
-def without_subtitle(blocks: Column, subtitle: Column) -> Column:
+def without_subtitle(blocks: Column, subtitle: Column, key: B.Key = B.squashed) -> Column:
     """Without the first of the leading blocks that has over half of the subtitle's words; a block of other words ends the search."""
 
     def of(said: Column) -> Column:
-        have = lambda b: F.size(F.array_intersect(said, C.words(X.squash(b["text"]))))
-        stop = lambda b: (have(b) > F.size(said) * B.TITLE_SHARE) | (F.size(F.array_except(C.words(X.squash(b["text"])), said)) > 0)
+        have = lambda b: F.size(F.array_intersect(said, C.words(key(b))))
+        stop = lambda b: (have(b) > F.size(said) * B.TITLE_SHARE) | (F.size(F.array_except(C.words(key(b)), said)) > 0)
         at = _where(F.slice(blocks, 1, SUBTITLE_BLOCKS), lambda b, _: stop(b))
         return F.when((at > 0) & (have(F.get(blocks, at - 1)) > F.size(said) * B.TITLE_SHARE), _without(blocks, at)).otherwise(blocks)
 
     return F.when(X.squash(subtitle) != "", W.let(F.array_distinct(C.words(X.squash(subtitle))), of)).otherwise(blocks)
 
 
-def without_authors(blocks: Column, authors: Column) -> Column:
+def without_authors(blocks: Column, authors: Column, key: B.Key = B.squashed) -> Column:
     """Without the first block before the body that names the authors: as given, then without, then with further middle names."""
     names = F.filter(F.transform(F.split(authors, r",\s*|\s+and\s+"), lambda p: X.squash(p)), lambda p: p != "")
     given, short = X.squash(authors), X.squash(F.element_at(W.name_variants(authors), -1))
@@ -94,7 +94,7 @@ def without_authors(blocks: Column, authors: Column) -> Column:
 
     def of(a: Column) -> Column:
         near = F.slice(blocks, F.lit(1), F.greatest(a["limit"] - 1, F.lit(0)))
-        ways = [_where(near, lambda b, _: F.contains(X.squash(b["text"]), a[c]) & (a[c] != "")) for c in ("given", "short")] + [_where(near, lambda b, _: (a["loose"] != "") & F.rlike(X.squash(b["text"]), a["loose"]))]
+        ways = [_where(near, lambda b, _: (a[c] != "") & F.contains(key(b), a[c])) for c in ("given", "short")] + [_where(near, lambda b, _: (a["loose"] != "") & F.rlike(key(b), a["loose"]))]
         return W.let(F.array(*ways), lambda w: _without(blocks, F.coalesce(F.get(F.filter(w, lambda x: x > 0), F.lit(0)), F.lit(0))))
 
     return F.when(given != "", W.let(parts, of)).otherwise(blocks)
@@ -105,12 +105,12 @@ def _limit(blocks: Column) -> Column:
     return F.when(abstract > 0, abstract).otherwise(_body_start(blocks))
 
 
-def without_abstract(blocks: Column, abstract: Column) -> Column:
+def without_abstract(blocks: Column, abstract: Column, key: B.Key = B.squashed) -> Column:
     """Without the heading `Abstract` and the first paragraph before the body that has over 0.7 of the abstract's words."""
 
     def of(said: Column) -> Column:
         rest = W.let(_where(blocks, lambda b, _: _head(b, "h2", "h3") & b["text"].rlike(r"(?i)^\s*Abstract\s*$")), lambda at: _without(blocks, at))
-        near = lambda b: F.size(F.array_intersect(said, C.words(X.squash(b["text"])))) > F.size(said) * ABSTRACT_SHARE
+        near = lambda b: F.size(F.array_intersect(said, C.words(key(b)))) > F.size(said) * ABSTRACT_SHARE
         return W.let(rest, lambda r: W.let(_body_start(r), lambda end: _without(r, _where(r, lambda b, i: (i < end) & (b["tag"] == "p") & near(b)))))
 
     return F.when((F.char_length(abstract) >= LEAST_ABSTRACT) & (X.squash(abstract) != ""), W.let(F.array_distinct(C.words(X.squash(abstract))), of)).otherwise(blocks)
@@ -171,7 +171,7 @@ def _begins(text: Column, title: Column) -> Column:
     return (n >= B.LEAST_OPENING) & (F.substring(text, F.lit(1), n) == F.substring(title, F.lit(1), n))
 
 
-def book_review(blocks: Column, title: Column, following: Column, combined: Column) -> Column:
+def book_review(blocks: Column, title: Column, following: Column, combined: Column, key: B.Key = B.squashed) -> Column:
     """One review of a shared page: from the block with its title and imprint up to that of the following review.
 
     The title is looked for in any of its parts (at `/`), in a block that states an imprint, a heading with an imprint
@@ -182,7 +182,7 @@ def book_review(blocks: Column, title: Column, following: Column, combined: Colu
     parts_of = lambda t: F.filter(F.transform(F.split(B.bare_title(t), "/"), X.squash), lambda p: p != "")
 
     def whole(x: Column) -> Column:
-        said = F.transform(blocks, lambda b, i: F.struct(X.squash(b["text"]).alias("text"), (b["tag"] != "blockquote").alias("fit"), _head(b).alias("head"), b["text"].rlike(IMPRINT).alias("imprint"), F.char_length(b["text"]).alias("n"), F.get(blocks, i + 1)["text"].rlike(IMPRINT).alias("next")))
+        said = F.transform(blocks, lambda b, i: F.struct(key(b).alias("text"), (b["tag"] != "blockquote").alias("fit"), _head(b).alias("head"), b["text"].rlike(IMPRINT).alias("imprint"), F.char_length(b["text"]).alias("n"), F.get(blocks, i + 1)["text"].rlike(IMPRINT).alias("next")))
 
         def in_blocks(s: Column) -> Column:
             told = lambda b: b["imprint"] | (b["head"] & F.coalesce(b["next"], F.lit(False))) | (F.size(F.split(b["text"], " ")) <= SHORT_HEADING)
@@ -213,22 +213,24 @@ def book_review(blocks: Column, title: Column, following: Column, combined: Colu
 # ------------------------------------------------------------------------------------------------ the table
 
 REVIEW, REVIEW_EDITORIAL, EDITORIAL = ("Book Reviews", "Book Review"), ("Book Review Editorial",), ("Editorial",)
+#: While steps are applied, a block holds its squashed text.
+KEY = lambda b: b["key"]
 #: Steps in order: name, sections (None: all, "": all but the named kinds), step.
 STEPS: tuple[tuple[str, tuple[str, ...] | None, Step], ...] = (
-    ("review of a shared page", REVIEW, lambda b, a: book_review(b, a["title"], a["following"], a["combined"])),
+    ("review of a shared page", REVIEW, lambda b, a: book_review(b, a["title"], a["following"], a["combined"], KEY)),
     ("contents", None, lambda b, a: without_contents(b)),
     ("listing of the books", REVIEW, lambda b, a: without_listing(b)),
-    ("before the title", (*REVIEW_EDITORIAL, *EDITORIAL, ""), lambda b, a: B.from_title(b, a["title"])),
+    ("before the title", (*REVIEW_EDITORIAL, *EDITORIAL, ""), lambda b, a: B.from_title(b, a["title"], KEY)),
     ("heading of the reviews", REVIEW_EDITORIAL, lambda b, a: without_reviews_head(b)),
     ("reviews", REVIEW_EDITORIAL, lambda b, a: without_reviews(b)),
-    ("title", (*EDITORIAL, ""), lambda b, a: B.without_title(b, a["title"])),
-    ("subtitle", ("",), lambda b, a: without_subtitle(b, a["subtitle"])),
-    ("authors", (*EDITORIAL, ""), lambda b, a: without_authors(b, a["authors"])),
-    ("abstract", ("",), lambda b, a: without_abstract(b, a["abstract"])),
+    ("title", (*EDITORIAL, ""), lambda b, a: B.without_title(b, a["title"], KEY)),
+    ("subtitle", ("",), lambda b, a: without_subtitle(b, a["subtitle"], KEY)),
+    ("authors", (*EDITORIAL, ""), lambda b, a: without_authors(b, a["authors"], KEY)),
+    ("abstract", ("",), lambda b, a: without_abstract(b, a["abstract"], KEY)),
     ("keywords", ("",), lambda b, a: without_keywords(b)),
-    ("repeated title", ("",), lambda b, a: B.without_title(b, a["title"])),
-    ("repeated subtitle", ("",), lambda b, a: without_subtitle(b, a["subtitle"])),
-    ("following article", None, lambda b, a: B.until_next(b, a["title"], a["following"])),
+    ("repeated title", ("",), lambda b, a: B.without_title(b, a["title"], KEY)),
+    ("repeated subtitle", ("",), lambda b, a: without_subtitle(b, a["subtitle"], KEY)),
+    ("following article", None, lambda b, a: B.until_next(b, a["title"], a["following"], KEY)),
     ("headings", None, lambda b, a: normal_headings(b)),
     ("rules", None, lambda b, a: without_rules(b)),
 )
@@ -246,7 +248,9 @@ def cleaned(articles: DataFrame, blocks: str = "blocks", journal: str | None = N
     section = F.coalesce(F.col("section"), F.lit(""))
     known = F.when(section.isin(*kinds), section).otherwise("")
     columns, b = {c: F.col(c) for c in ARTICLE}, F.col(blocks)
+    articles = articles.withColumn(blocks, F.transform(b, lambda x: F.struct(x["tag"].alias("tag"), x["text"].alias("text"), B.squashed(x).alias("key"))))
     for _, sections, step in STEPS:
         after = step(b, columns)
         articles = articles.withColumn(blocks, after if sections is None else F.when(known.isin(*sections), after).otherwise(b))
+    # The step on headings has left tags and texts only.
     return articles if journal is None else articles.withColumn(blocks, B.without_furniture(b, journal))
