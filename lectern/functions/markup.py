@@ -95,6 +95,11 @@ def unescaped(text: Column) -> Column:
     return F.when(F.instr(text, "&") == 0, text).otherwise(replaced)
 
 
+def without_marks(text: Column) -> Column:
+    """text without the noncharacters that flattened streams are marked with."""
+    return F.regexp_replace(text, "[\ufdd0-\ufdd6]", "")
+
+
 def plain_text(markup: Column) -> Column:
     """What a parser reports as data, joined."""
     data = F.filter(events(markup), lambda e: e["kind"].isin("text", "raw"))
@@ -103,7 +108,7 @@ def plain_text(markup: Column) -> Column:
         return F.concat(F.when(e["kind"] == "raw", F.replace(e["source"], F.lit("&"), F.lit("\ufdd1"))).otherwise(e["source"]), F.lit("\ufdd0;"))
 
     joined = F.array_join(F.transform(data, marked), "")
-    return F.translate(F.replace(unescaped(joined), F.lit("\ufdd0;"), F.lit("")), "\ufdd1", "&")
+    return F.replace(F.replace(unescaped(joined), F.lit("\ufdd0;"), F.lit("")), F.lit("\ufdd1"), F.lit("&"))
 
 
 def _pairs(tag: Column, decoded: bool) -> Column:
@@ -142,7 +147,7 @@ def links(markup: Column) -> Column:
     Tags between the end of a link and the next text don't separate words, as a text extractor drops them. The stream is
     flattened to text with marks, an address is moved behind its label, and runs of marks are zipped with the text after them.
     """
-    plain = lambda s: F.translate(s, "\ufdd0\ufdd1\ufdd2\ufdd3\ufdd4\ufdd5\ufdd6", "")
+    plain = without_marks
 
     def flat(t: Column) -> Column:
         address = F.concat(F.lit("\ufdd0"), plain(F.coalesce(value_of(_pairs(t, False), "href"), F.lit(""))), F.lit("\ufdd1"))
@@ -154,7 +159,7 @@ def links(markup: Column) -> Column:
         )
 
     # References are replaced once for the whole stream, addresses and labels alike; none decodes to a mark.
-    stream = F.translate(unescaped(F.array_join(F.transform(tokens(markup), flat), "")), "\ufdd6", "&")
+    stream = F.replace(unescaped(F.array_join(F.transform(tokens(markup), flat), "")), F.lit("\ufdd6"), F.lit("&"))
     moved = F.regexp_replace(stream, "\ufdd0([^\ufdd1]*+)\ufdd1([^\ufdd0\ufdd5]*+)\ufdd5", f"{_TAG}$2{_LINK}$1\ufdd0$2{_ADDRESS}")
     moved = F.regexp_replace(moved, "\ufdd0[^\ufdd1\ufdd4]*+\ufdd1|\ufdd5", _TAG)
     runs, after = F.regexp_extract_all(moved, F.lit(f"(?:{_MARKS})++"), F.lit(0)), F.split(moved, f"(?:{_MARKS})++")
@@ -162,7 +167,7 @@ def links(markup: Column) -> Column:
     def of(run: Column, following: Column) -> Column:
         ended = F.regexp_extract_all(run, F.lit(f"{_LINK}([^{_ADDRESS}]*+){_ADDRESS}"), F.lit(1))
         word = F.regexp_extract(following, r"^\S+", 0)
-        parts = lambda x: F.struct(F.substring_index(x, "\ufdd0", 1).alias("href"), F.translate(F.substring_index(x, "\ufdd0", -1), _TAG, "").alias("label"))
+        parts = lambda x: F.struct(F.substring_index(x, "\ufdd0", 1).alias("href"), F.replace(F.substring_index(x, "\ufdd0", -1), F.lit(_TAG), F.lit("")).alias("label"))
         return F.transform(ended, lambda x: F.struct(parts(x)["href"].alias("href"), parts(x)["label"].alias("label"), word.alias("run_on")))
 
     return F.flatten(F.zip_with(runs, F.slice(after, F.lit(2), F.size(after)), of))
@@ -267,7 +272,7 @@ def run_on_links(html: Column) -> Column:
 def _between(markup: Column, opens, name: str, content) -> Column:
     """content(events) of each element `name` (with or without prefix) that opens() takes; the events are those up to its first end."""
     begun = lambda e: opens(e) & (e["kind"] == "start") & e["name"].rlike(f"^(?:.*:)?{name}$")
-    marked = F.transform(events(markup), lambda e: F.concat(F.when(begun(e), "\ufdd0").when((e["kind"] == "end") & e["name"].rlike(f"^(?:.*:)?{name}$"), "\ufdd1").otherwise(""), F.translate(e["source"], "\ufdd0\ufdd1", "")))
+    marked = F.transform(events(markup), lambda e: F.concat(F.when(begun(e), "\ufdd0").when((e["kind"] == "end") & e["name"].rlike(f"^(?:.*:)?{name}$"), "\ufdd1").otherwise(""), without_marks(e["source"])))
     parts = F.split(F.array_join(marked, ""), "\ufdd0")
     return F.transform(F.slice(parts, F.lit(2), F.size(parts)), lambda x: content(F.substring_index(x, "\ufdd1", 1)))
 

@@ -25,7 +25,7 @@ def has_contact(html: Column) -> Column:
 
 def each_paragraph(html: Column, rule) -> Column:
     """html with rule(paragraph) in place of each `p` that is closed, tags included."""
-    mark = lambda s: F.translate(s, "\ufdd0", "")
+    mark = K.without_marks
 
     def flat(e: Column) -> Column:
         opened, closed = (e["name"] == "p") & (e["kind"] == "start"), (e["name"] == "p") & (e["kind"] == "end")

@@ -111,7 +111,7 @@ def runon_bios(paragraph: Column) -> Column:
         run = F.slice(x["parts"], x["at"], F.size(x["parts"]))
         kept = F.regexp_replace(F.substr(F.array_join(F.slice(x["parts"], F.lit(1), x["at"] - 1), ""), F.lit(2)), r"\s+$", "")
         bios = F.filter(F.transform(run, clean), lambda b: b != "")
-        last = F.element_at(bios, -1)
+        last = F.try_element_at(bios, F.lit(-1))
         end = F.regexp_extract(last, rf"^(?s:.*?){GLUED_PROVENANCE}", 0)
         whole = F.when(end == "", bios).otherwise(F.concat(F.slice(bios, F.lit(1), F.size(bios) - 1), F.array(end)))
         refused = F.char_length(F.array_join(run, "")) > TAIL_LIMIT

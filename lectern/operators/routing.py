@@ -37,7 +37,7 @@ def markup_blocks(html: Column) -> Column:
         block = e["name"].isin(*names)
         return (
             F.when(e["kind"].isin("start", "empty") & block, F.concat(F.lit("\ufdd0"), e["name"], F.lit("\ufdd1"))).when((e["kind"] == "end") & block, "\ufdd0p\ufdd1")
-            .when(e["name"].isin("ul", "ol", "div", "table", "tr", "section"), "\ufdd0p\ufdd1").when(e["name"] == "br", " ").when(e["kind"] == "text", F.translate(K.unescaped(e["source"]), "\ufdd0\ufdd1", "")).otherwise("")
+            .when(e["name"].isin("ul", "ol", "div", "table", "tr", "section"), "\ufdd0p\ufdd1").when(e["name"] == "br", " ").when(e["kind"] == "text", K.without_marks(K.unescaped(e["source"]))).otherwise("")
         )
 
     parts = F.split(F.concat(F.lit("p\ufdd1"), F.array_join(F.transform(K.events(html), flat), "")), "\ufdd0")
@@ -195,7 +195,7 @@ def book_review(blocks: Column, title: Column, following: Column, combined: Colu
                 lines = F.when(~F.get(s, at - 1)["head"], 0).when(~imprint(0), 0).when(~imprint(1), 1).when(~imprint(2), 2).otherwise(IMPRINT_BLOCKS)
                 has = lambda b: F.exists(x["next"], lambda p: F.contains(b["text"], p))
                 begins = lambda b: ~x["same"] & F.exists(x["next"], lambda p: _begins(F.replace(b["text"], F.lit(" "), F.lit("")), F.replace(p, F.lit(" "), F.lit(""))))
-                headed = lambda i: F.coalesce(has(F.element_at(F.filter(F.slice(s, F.lit(1), i - 1), lambda b: b["head"]), -1)), F.lit(False))
+                headed = lambda i: F.coalesce(has(F.try_element_at(F.filter(F.slice(s, F.lit(1), i - 1), lambda b: b["head"]), F.lit(-1))), F.lit(False))
                 after = lambda n: _where(s, lambda b, i: (i > at + n) & b["fit"] & has(b) & (b["head"] | begins(b) | ((i > 1) & headed(i))) & told(b))
                 end = F.when(x["cut"], W.let(lines, after)).otherwise(0)
                 return F.when(at > 0, W.let(end, lambda e: F.slice(blocks, at, F.when(e > 0, e - at).otherwise(F.size(blocks))))).otherwise(blocks)

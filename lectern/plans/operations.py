@@ -112,7 +112,7 @@ def _(t):
 @query("priority_pick")
 def _(t):
     e = t("events")
-    return P.priority_pick([("needs_fix", e.where("event_type = 'error' and value > 1000").select("user_id")), ("unreviewed", t("customer").select(F.col("c_custkey").alias("user_id")).join(e.select("user_id"), "user_id", "left_anti")), ("any", e.select("user_id"))], "user_id")
+    return P.priority_pick([("needs_fix", e.where("event_type = 'error' and value > 50").select("user_id")), ("unreviewed", t("customer").select(F.col("c_custkey").alias("user_id")).join(e.select("user_id"), "user_id", "left_anti")), ("any", e.select("user_id"))], "user_id")
 
 
 SIDES = "s AS (SELECT user_id, event_type, CAST(ts AS DATE) AS day FROM events WHERE event_id % 3 <> 0), d AS (SELECT user_id, event_type, CAST(ts AS DATE) AS day FROM events WHERE event_id % 3 <> 1)"
