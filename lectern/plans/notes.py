@@ -126,6 +126,17 @@ def _(t):
     return found.select("doc_id", "v.status", "v.matched", "v.total", F.array_join("v.missing", ",").alias("missing"))
 
 
+SQUASHED = "trim(regexp_replace(regexp_replace(lower({}), '[^a-z0-9 ]', '', 'g'), ' +', ' ', 'g'))"
+
+
+@query("word_overlaps", f"""WITH t AS (SELECT doc_id, {SQUASHED.format('left(text, 90)')} AS a, {SQUASHED.format('substr(text, 1 + (doc_id % 6)::INTEGER * 15)')} AS b FROM documents WHERE text IS NOT NULL),
+ w AS (SELECT *, list_filter(string_split(a, ' '), lambda x: x <> '') AS wa, string_split(b, ' ') AS wb FROM t)
+ SELECT doc_id, CASE WHEN len(wa) = 0 THEN NULL WHEN contains(b, a) THEN 1.0 ELSE round(len(list_filter(wa, lambda x: list_contains(wb, x))) / len(wa), 6) END AS overlap FROM w""")
+def _(t):
+    a, b = X.squash(F.substring("text", 1, 90)), X.squash(F.substr("text", (1 + (F.col("doc_id") % 6) * 15).cast("int")))
+    return t("documents").where("text is not null").select("doc_id", F.round(X.word_overlap(a, b), 6).alias("overlap"))
+
+
 @query("common_parts", "SELECT l_partkey, count(*) AS n FROM lineitem WHERE l_partkey IS NOT NULL GROUP BY 1 ORDER BY n DESC, l_partkey LIMIT 25")
 def _(t):
     return O.most_common(t("lineitem"), "l_partkey", 25)
