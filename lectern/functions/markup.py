@@ -88,11 +88,16 @@ def _decoded(reference: Column) -> Column:
 
 def unescaped(text: Column) -> Column:
     """text with its character references replaced: numbers, all names, and names without semicolon by their longest known start."""
-    pieces = F.regexp_extract_all(text, F.lit(rf"{_REFERENCE}|[^&]++|&"), F.lit(0))
-    found = F.array_distinct(F.regexp_extract_all(text, F.lit(_REFERENCE), F.lit(0)))
-    meanings = let(found, lambda x: F.map_from_arrays(x, F.transform(x, _decoded)))
-    replaced = let(meanings, lambda m: F.array_join(F.transform(pieces, lambda p: F.coalesce(F.try_element_at(m, p), p)), ""))
-    return F.when(F.instr(text, "&") == 0, text).otherwise(replaced)
+
+    def of(t: Column) -> Column:
+        pieces = F.regexp_extract_all(t, F.lit(rf"{_REFERENCE}|[^&]++|&"), F.lit(0))
+        found = F.array_distinct(F.regexp_extract_all(t, F.lit(_REFERENCE), F.lit(0)))
+        meanings = let(found, lambda x: F.map_from_arrays(x, F.transform(x, _decoded)))
+        replaced = let(meanings, lambda m: F.array_join(F.transform(pieces, lambda p: F.coalesce(F.try_element_at(m, p), p)), ""))
+        return F.when(F.instr(t, "&") == 0, t).otherwise(replaced)
+
+    # The text may be a long expression: it is worked out once.
+    return let(text, of)
 
 
 def without_marks(text: Column) -> Column:
@@ -162,15 +167,17 @@ def links(markup: Column) -> Column:
     stream = F.replace(unescaped(F.array_join(F.transform(tokens(markup), flat), "")), F.lit("\ufdd6"), F.lit("&"))
     moved = F.regexp_replace(stream, "\ufdd0([^\ufdd1]*+)\ufdd1([^\ufdd0\ufdd5]*+)\ufdd5", f"{_TAG}$2{_LINK}$1\ufdd0$2{_ADDRESS}")
     moved = F.regexp_replace(moved, "\ufdd0[^\ufdd1\ufdd4]*+\ufdd1|\ufdd5", _TAG)
-    runs, after = F.regexp_extract_all(moved, F.lit(f"(?:{_MARKS})++"), F.lit(0)), F.split(moved, f"(?:{_MARKS})++")
-
     def of(run: Column, following: Column) -> Column:
         ended = F.regexp_extract_all(run, F.lit(f"{_LINK}([^{_ADDRESS}]*+){_ADDRESS}"), F.lit(1))
         word = F.regexp_extract(following, r"^\S+", 0)
         parts = lambda x: F.struct(F.substring_index(x, "\ufdd0", 1).alias("href"), F.replace(F.substring_index(x, "\ufdd0", -1), F.lit(_TAG), F.lit("")).alias("label"))
         return F.transform(ended, lambda x: F.struct(parts(x)["href"].alias("href"), parts(x)["label"].alias("label"), word.alias("run_on")))
 
-    return F.flatten(F.zip_with(runs, F.slice(after, F.lit(2), F.size(after)), of))
+    def zipped(m: Column) -> Column:
+        runs, after = F.regexp_extract_all(m, F.lit(f"(?:{_MARKS})++"), F.lit(0)), F.split(m, f"(?:{_MARKS})++")
+        return F.flatten(F.zip_with(runs, let(after, lambda a: F.slice(a, F.lit(2), F.size(a))), of))
+
+    return let(moved, zipped)
 
 
 def escaped(text: Column) -> Column:
