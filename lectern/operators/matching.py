@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections import deque
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -88,24 +90,41 @@ def one_to_one(old: DataFrame, new: DataFrame) -> DataFrame:
     """(old_id, new_id) of rows (id, scope, title, author) of both sides with the same scope and title, new_id null where none is left.
 
     A title that the new side has once takes every old row. Among repeated ones each old row, by id, takes the first free row
-    of its author, else the first free row. Groups are the copies of one title in one scope, so each fits a task.
+    of its author, else the first free row. Groups are the copies of one title in one scope, so each fits a task; they are
+    rows of arrays, many of which a Python function takes at a time.
     """
-    def keyed(df: DataFrame) -> DataFrame:
-        return df.select("id", "scope", F.lower(F.trim("title")).alias("title"), F.lower(F.trim(F.coalesce("author", F.lit("")))).alias("author"))
-
-    def decide(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        free = dict(right.sort_values("id")[["id", "author"]].itertuples(index=False))
-        once = next(iter(free)) if len(free) == 1 else None
-        rows = []
-        for i, author in left.sort_values("id")[["id", "author"]].itertuples(index=False):
-            got = once if once is not None else next((k for k, a in free.items() if a == author), next(iter(free), None))
-            if once is None:
-                free.pop(got, None)
-            rows.append((i, got))
-        out = pd.DataFrame(rows, columns=["old_id", "new_id"])
-        return out.astype({"old_id": "int64", "new_id": "Int64"})
-
-    return keyed(old).groupBy("scope", "title").cogroup(keyed(new).groupBy("scope", "title")).applyInPandas(decide, "old_id long, new_id long")
+    def keyed(df: DataFrame, side: str) -> DataFrame:
+        return df.select("scope", F.lower(F.trim("title")).alias("title"), F.struct(F.col("id").cast("long").alias("id"), F.lower(F.trim(F.coalesce("author", F.lit("")))).alias("author")).alias(side))
+
+    def decide(authors: list[str], free_ids: list[int], free_authors: list[str]) -> list[int | None]:
+        free = dict(zip(free_ids, free_authors, strict=True))
+        by_author: dict[str, deque[int]] = {}
+        for i, author in free.items():
+            by_author.setdefault(author, deque()).append(i)
+        rest, out = deque(free), []
+        for author in authors:
+            # A row is in two queues; where one gave it, the other passes over it.
+            own = by_author.get(author, ())
+            while own and own[0] not in free:
+                own.popleft()
+            while rest and rest[0] not in free:
+                rest.popleft()
+            got = own[0] if own else rest[0] if rest else None
+            free.pop(got, None)
+            out.append(got)
+        return out
+
+    @F.pandas_udf("array<long>")
+    def decided(authors: pd.Series, free_ids: pd.Series, free_authors: pd.Series) -> pd.Series:
+        return pd.Series([decide(*row) for row in zip(authors, free_ids, free_authors, strict=True)], dtype=object)
+
+    sides = keyed(old, "old").withColumn("new", F.lit(None)).unionByName(keyed(new, "new").withColumn("old", F.lit(None)))
+    groups = sides.groupBy("scope", "title").agg(F.sort_array(F.collect_list("old")).alias("old"), F.sort_array(F.collect_list("new")).alias("new")).where("size(old) > 0")
+    # One row of the new side, or none, needs no choice.
+    once = F.size(F.array_distinct("new.id")) <= 1
+    plain = groups.where(once).select(F.explode("old.id").alias("old_id"), F.get("new.id", F.lit(0)).alias("new_id"))
+    chosen = groups.where(~once).select("old.id", decided("old.author", "new.id", "new.author").alias("got"))
+    return plain.unionByName(chosen.select(F.explode(F.arrays_zip(F.col("id").alias("id"), "got")).alias("x")).select(F.col("x.id").alias("old_id"), F.col("x.got").alias("new_id")))
 
 
 def contained(left: DataFrame, right: DataFrame, scope: str, text: str = "text") -> DataFrame:

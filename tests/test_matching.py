@@ -148,3 +148,22 @@ def test_latency_over_a_stream(spark, tmp_path):
         assert sorted((r.n, r["mean"]) for r in spark.table("latency").collect()) == [(60, 29.5), (60, 89.5)]
     finally:
         q.stop()
+
+
+def test_one_to_one_without_a_group_a_call(spark):
+    r = random.Random(3)
+    side = lambda at: [(at + i, r.randint(0, 12), r.choice("pq"), r.choice(["a", "b", None])) for i in range(150)]
+    a, b = side(0), side(1000)
+    old, new = (spark.createDataFrame(x, "id long, scope long, title string, author string") for x in (a, b))
+    found = M.one_to_one(old, new)
+    assert "FlatMapCoGroups" not in found._jdf.queryExecution().toString()
+    want = {}
+    for key in {x[1:3] for x in a}:
+        free = [(x[0], x[3] or "") for x in b if x[1:3] == key]
+        once = free[0][0] if len(free) == 1 else None
+        for i, _, _, author in [x for x in a if x[1:3] == key]:
+            got = next((f for f in free if f[1] == (author or "")), free[0] if free else None)
+            want[i] = once or (got[0] if got else None)
+            if got and not once:
+                free.remove(got)
+    assert {x.old_id: x.new_id for x in found.collect()} == want
