@@ -13,9 +13,11 @@ from lectern.plans.catalog import query
 PIECES = r"""p AS (SELECT page_id, unnest(x) AS x, generate_subscripts(x, 1) AS i FROM (SELECT page_id, regexp_extract_all(html, '<script[^>]*>[\s\S]*?</script>|<style[^>]*>[\s\S]*?</style>|<!--[\s\S]*?-->|<[^>]*>|[^<]+') AS x FROM pages)),
  d AS (SELECT page_id, i, x, CASE WHEN x LIKE '<script%' OR x LIKE '<style%' THEN regexp_replace(x, '^<[^>]*>|</[a-z]+>$', '', 'g') WHEN x LIKE '<%' THEN ''
   ELSE replace(replace(replace(replace(replace(replace(replace(x, '&middot;', '·'), '&copy;', '©'), '&quot;', '"'), '&lt;', '<'), '&gt;', '>'), '&nbsp;', chr(160)), '&amp;', '&') END AS said FROM p)"""
+#: The pieces with these names as HTML reads them, which is the rule of `unescaped`: the semicolon may be missing.
+READ_PIECES = PIECES.split("  ELSE ")[0] + """  ELSE regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(x, '&middot;?', '·', 'g'), '&copy;?', '©', 'g'), '&quot;?', '"', 'g'), '&lt;?', '<', 'g'), '&gt;?', '>', 'g'), '&nbsp;?', chr(160), 'g'), '&amp;?', '&', 'g') END AS said FROM p)"""
 
 
-@query("page_text", f"WITH {PIECES} SELECT page_id, length(string_agg(said, '' ORDER BY i)) AS chars, md5(string_agg(said, '' ORDER BY i)) AS digest FROM d GROUP BY page_id")
+@query("page_text", f"WITH {READ_PIECES} SELECT page_id, length(string_agg(said, '' ORDER BY i)) AS chars, md5(string_agg(said, '' ORDER BY i)) AS digest FROM d GROUP BY page_id")
 def _(t):
     return t("pages").select("page_id", K.plain_text(F.col("html")).alias("said")).select("page_id", F.char_length("said").cast("long").alias("chars"), F.md5("said").alias("digest"))
 

@@ -127,3 +127,15 @@ def test_long_texts_take_linear_time(spark, piece):
     began = time.time()
     assert df.select(F.length(K.plain_text(F.col("html"))), F.size(K.links(F.col("html")))).collect()
     assert time.time() - began < 30
+
+
+def test_page_text_reads_references_without_semicolon_as_its_sql(spark, tmp_path):
+    import duckdb
+    from lectern.plans import catalog
+
+    pages = [(1, "<title>a &amp</title><p>b &ampc &copy d &amp;lt; &am</p>"), (2, "<p>&quot;x&quo</p>&middot&nbsp;&gt&lt")]
+    spark.createDataFrame(pages, "page_id long, html string").write.parquet(str(tmp_path / "pages.parquet"))
+    got = sorted(map(tuple, catalog.queries()["page_text"](spark, str(tmp_path)).collect()))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW pages AS SELECT * FROM read_parquet('{tmp_path}/pages.parquet/*.parquet')")
+    assert got == sorted(con.execute(catalog.oracle_sql()["page_text"]).fetchall())
