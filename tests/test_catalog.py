@@ -32,3 +32,16 @@ def test_oracle(spark, duck, name):
     ours = sorted((tuple(value(r[c]) for c in cols) for r in found.collect()), key=str)
     theirs = sorted((tuple(value(r[i]) for i in at) for r in rel.fetchall()), key=str)
     assert ours == theirs
+
+
+def test_word_overlap_works_out_its_arguments_once(spark):
+    from pyspark.sql import functions as F
+
+    from lectern.functions import text as X
+
+    rows = [("a b a", "b c"), ("b c", "a b c d"), ("", "a"), ("a", ""), (None, "a"), ("a", None), (" ab  b", "abb b"), ("a", "ab ba")]
+    df = spark.createDataFrame(rows, "a string, b string")
+    long = lambda c: F.regexp_replace(c, "zz", "")
+    found = df.select("a", "b", X.word_overlap(long(F.col("a")), long(F.col("b"))).alias("o"))
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("regexp_replace") == 2
+    assert [x.o for x in found.collect()] == pytest.approx([1 / 3, 1.0, None, 0.0, None, 0.0, 0.5, 1.0])
