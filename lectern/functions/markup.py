@@ -107,7 +107,12 @@ def without_marks(text: Column) -> Column:
 
 def plain_text(markup: Column) -> Column:
     """What a parser reports as data, joined."""
-    data = F.filter(events(markup), lambda e: e["kind"].isin("text", "raw"))
+    return _data(events(markup))
+
+
+def _data(stream: Column) -> Column:
+    """The text of a stream of events."""
+    data = F.filter(stream, lambda e: e["kind"].isin("text", "raw"))
     # References are replaced once for the whole text: a noncharacter ends each stretch, so none runs across a tag.
     def marked(e: Column) -> Column:
         return F.concat(F.when(e["kind"] == "raw", F.replace(e["source"], F.lit("&"), F.lit("\ufdd1"))).otherwise(e["source"]), F.lit("\ufdd0;"))
@@ -276,18 +281,24 @@ def run_on_links(html: Column) -> Column:
     return F.filter(_resolved(html), lambda x: x["follows"] != "")
 
 
-def _between(markup: Column, opens, name: str, content) -> Column:
-    """content(events) of each element `name` (with or without prefix) that opens() takes; the events are those up to its first end."""
-    begun = lambda e: opens(e) & (e["kind"] == "start") & e["name"].rlike(f"^(?:.*:)?{name}$")
-    marked = F.transform(events(markup), lambda e: F.concat(F.when(begun(e), "\ufdd0").when((e["kind"] == "end") & e["name"].rlike(f"^(?:.*:)?{name}$"), "\ufdd1").otherwise(""), without_marks(e["source"])))
-    parts = F.split(F.array_join(marked, ""), "\ufdd0")
-    return F.transform(F.slice(parts, F.lit(2), F.size(parts)), lambda x: content(F.substring_index(x, "\ufdd1", 1)))
+def _between(stream: Column, opens, name: str, content) -> Column:
+    """content(markup) of each element `name` (with or without prefix) that opens() takes, in a stream of events; the markup is that up to its first end."""
+    # Attributes are read of elements of that name only.
+    begun = lambda e: (e["kind"] == "start") & e["name"].rlike(f"^(?:.*:)?{name}$") & opens(e)
+    marked = F.transform(stream, lambda e: F.concat(F.when(begun(e), "\ufdd0").when((e["kind"] == "end") & e["name"].rlike(f"^(?:.*:)?{name}$"), "\ufdd1").otherwise(""), without_marks(e["source"])))
+    inner = lambda parts: F.transform(F.slice(parts, F.lit(2), F.size(parts)), lambda x: let(F.substring_index(x, "\ufdd1", 1), content))
+    return let(F.split(F.array_join(marked, ""), "\ufdd0"), inner)
 
 
 def reference_dois(jats: Column) -> Column:
     """Structs of each reference's text, the identifiers that it states (pub-id of type doi) and those that its text links to."""
-    return _between(jats, lambda e: F.lit(True), "ref", lambda r: F.struct(
-        F.trim(F.regexp_replace(plain_text(r), r"\s+", " ")).alias("text"),
-        _between(r, lambda e: F.lower(attribute(e["source"], "pub-id-type")) == "doi", "pub-id", lambda x: F.regexp_replace(plain_text(x), r"^\s+|\s+$", "")).alias("stated"),
-        F.regexp_extract_all(plain_text(r), F.lit(r"(?i)https?://(?:dx\.)?doi\.org/(\S+)"), F.lit(1)).alias("linked"),
-    ))
+    doi = lambda e: F.lower(attribute(e["source"], "pub-id-type")) == "doi"
+
+    def told(stream: Column) -> Column:
+        return let(_data(stream), lambda said: F.struct(
+            F.trim(F.regexp_replace(said, r"\s+", " ")).alias("text"),
+            _between(stream, doi, "pub-id", lambda x: F.regexp_replace(plain_text(x), r"^\s+|\s+$", "")).alias("stated"),
+            F.regexp_extract_all(said, F.lit(r"(?i)https?://(?:dx\.)?doi\.org/(\S+)"), F.lit(1)).alias("linked"),
+        ))
+
+    return _between(events(jats), lambda e: F.lit(True), "ref", lambda r: let(events(r), told))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from lectern.functions import markup as K
 from lectern.functions import text as X
 from lectern.operators import jats as J
-from lectern.plans.catalog import query
+from lectern.plans.catalog import query, spread
 
 #: Pages cut into raw elements, comments, tags and text by DuckDB's own expressions.
 PIECES = r"""p AS (SELECT page_id, unnest(x) AS x, generate_subscripts(x, 1) AS i FROM (SELECT page_id, regexp_extract_all(html, '<script[^>]*>[\s\S]*?</script>|<style[^>]*>[\s\S]*?</style>|<!--[\s\S]*?-->|<[^>]*>|[^<]+') AS x FROM pages)),
@@ -67,7 +67,7 @@ def _(t):
     )
     jats = F.concat(F.lit("<back><ref-list><title>x</title><ref id='r'><mixed-citation>"), "p_name", F.lit(" &amp; <i>"), "p_type", F.lit("</i>. "), ident, F.lit("</mixed-citation></ref></ref-list></back>"))
     html = F.concat(F.lit('<li>x <a href="https://doi.org/'), doi, F.lit('">y</a>'), F.when(k == 2, "</li><li>Following, z").otherwise("</li>\n<li>z"), F.lit("</li>"))
-    one = t("part").select("p_partkey", F.get(K.reference_dois(jats), F.lit(0)).alias("r"), F.get(K.run_on_links(html), F.lit(0)).alias("l"))
+    one = spread(t("part").select("p_partkey", "p_name", "p_type", "p_brand")).select("p_partkey", F.get(K.reference_dois(jats), F.lit(0)).alias("r"), F.get(K.run_on_links(html), F.lit(0)).alias("l"))
     return one.select("p_partkey", F.trim("r.text").alias("text"), F.array_join("r.stated", ",").alias("stated"), F.array_join("r.linked", ",").alias("linked"), F.coalesce("l.follows", F.lit("")).alias("run_on"))
 
 
