@@ -42,17 +42,17 @@ def enriched(items: DataFrame, reviews: DataFrame, on: str, fields: list[str]) -
     return items.join(reviews.groupBy(on).agg(*[F.min(f).alias(f) for f in fields]), on, "left")
 
 
-def routed(item: Column, heading: Column, authors: Column, separate: Column) -> Column:
+def routed(item: Column, heading: Column, authors: Column, separate: Column, section: Column | None = None) -> Column:
     """Kind of an item of a reference section: provenance, bio, drop, note or citation; the first rule that holds.
 
     authors are full names in lower case; separate says whether the article has a section of pure references, so that what
-    stands under notes is a note. A bio under any heading must name an author by surname.
+    stands under notes is a note. A bio under any heading must name an author by surname. section is the heading's class where it is known.
     """
     surnames = F.transform(authors, lambda a: F.element_at(F.split(a, " "), -1))
-    names = F.exists(surnames, lambda s: F.contains(F.lower(item), s))
-    section = C.heading_class(heading)
+    names = C.let(F.lower(item), lambda low: F.exists(surnames, lambda s: F.contains(low, s)))
+    section = C.heading_class(heading) if section is None else section
     return (
-        F.when(C.is_provenance(item), "provenance").when(section == "bio", "bio").when(C.is_bio(item) & names, "bio")
+        F.when(C.is_provenance(item), "provenance").when(section == "bio", "bio").when(F.when(names, C.is_bio(item)), "bio")
         .when(F.array_contains(authors, F.regexp_replace(F.lower(F.trim(item)), r"\.+$", "")), "drop")
         .when((section == "notes") & (separate | ~C.is_citation_like(item)), "note").otherwise("citation")
     )
@@ -68,8 +68,11 @@ def extracted(items: DataFrame, authors: DataFrame, key: str = "article") -> Dat
     by = authors.groupBy(key).agg(F.collect_set(F.lower("author")).alias("authors"))
     own = Window.partitionBy(key)
     rows = items.where(F.trim(F.coalesce("text", F.lit(""))) != "").withColumn("text", F.trim("text")).join(by, key, "left").withColumn("authors", F.coalesce("authors", F.array().cast("array<string>")))
-    rows = rows.withColumn("separate", F.max(F.coalesce(C.heading_class(F.col("heading")) == "references", F.lit(False))).over(own))
-    kind = rows.withColumn("contact", C.is_contact(F.col("text"))).withColumn("kind", routed(F.col("text"), F.col("heading"), F.col("authors"), F.coalesce("separate", F.lit(False)))).where("kind != 'drop'")
+    # The class of a heading is worked out once an item: what a window reads is a column.
+    rows = rows.withColumn("section", C.heading_class(F.col("heading"))).withColumn("separate", F.max(F.coalesce(F.col("section") == "references", F.lit(False))).over(own))
+    # A filter on the kind would work it out a second time below the projection; an exploded array of none or one does not.
+    one = F.array(routed(F.col("text"), F.col("heading"), F.col("authors"), F.coalesce("separate", F.lit(False)), F.col("section")))
+    kind = rows.withColumn("contact", C.is_contact(F.col("text"))).withColumn("kind", F.explode(F.filter(one, lambda k: k != "drop")))
     # A bio begins a group; contacts go on with it. Anything else begins one of its own.
     order = own.orderBy("position")
     follows = F.lag("contact").over(order) & F.lag("heading").over(order).eqNullSafe(F.col("heading"))
