@@ -51,7 +51,7 @@ def sectioned(blocks: DataFrame, authors: DataFrame) -> DataFrame:
     rows = rows.withColumn("sec", F.sum(F.when(head, 1).otherwise(0)).over(order)).withColumn("heading", F.last(F.when(head, F.col("text")), ignorenulls=True).over(order))
     rows = rows.withColumns({"listed": F.max(F.col("tag") == "li").over(section), "first_at": F.min(F.when(inner, F.col("at"))).over(section), "opening": F.min_by(F.when(inner, F.col("text")), F.when(inner, F.col("at"))).over(section)})
     named = F.coalesce(C.is_bio_section(F.col("heading"), F.col("opening"), F.col("authors")), F.lit(False))
-    rows = rows.withColumns({"named": named, "back": (F.col("sec") > 0) & (C.heading_class(F.col("heading")).isNotNull() | named)})
+    rows = rows.withColumns({"named": named, "section": C.heading_class(F.col("heading"))}).withColumn("back", (F.col("sec") > 0) & (F.col("section").isNotNull() | F.col("named")))
     rows = rows.withColumn("last", F.max(F.when(F.col("back"), F.col("sec"))).over(own)).withColumn("stop", F.coalesce(F.max(F.when(~F.col("back") & (F.col("sec") > 0) & (F.col("sec") < F.col("last")), F.col("sec"))).over(own), F.lit(0)))
     fits = F.when(F.col("listed"), F.col("tag") == "li").otherwise(F.col("tag").isin("p", "blockquote"))
     return rows.withColumn("item", F.col("back") & (F.col("sec") > F.col("stop")) & fits).drop("listed", "opening", "last", "stop")
@@ -69,20 +69,22 @@ def extracted_whole(blocks: DataFrame, authors: DataFrame) -> DataFrame:
     before = order.rowsBetween(Window.unboundedPreceding, -1)
     text, item, p = F.col("text"), F.col("item"), F.col("tag") == "p"
     rows = sectioned(blocks, authors)
-    label = F.coalesce(C.heading_class(F.col("heading")) == "bio", F.lit(False))
+    label = F.coalesce(F.col("section") == "bio", F.lit(False))
     said = F.when(item & F.col("named") & (F.col("at") == F.col("first_at")), F.concat_ws(" ", "heading", "text")).otherwise(text)
     plain = C.strip(F.regexp_replace(said, LABELS, ""))
     said = F.when(item & label, F.when(F.startswith(F.lower(plain), F.lit("contact ")) & ~F.contains(F.substring(plain, 1, 10), F.lit(":")), F.concat(F.lit("Contact: "), F.trim(F.substring(plain, 9, 1 << 30)))).otherwise(plain)).otherwise(said)
-    separate = F.max(F.coalesce(F.col("item") & (C.heading_class(F.col("heading")) == "references"), F.lit(False))).over(Window.partitionBy("article"))
-    rows = rows.withColumns({"said": said, "label": label, "separate": separate, "contact": C.is_contact(text), "provenance": (p | item) & C.is_provenance(text)})
+    separate = F.max(F.coalesce(F.col("item") & (F.col("section") == "references"), F.lit(False))).over(Window.partitionBy("article"))
+    rows = rows.withColumns({"said": said, "label": label, "separate": separate, "contact": C.is_contact(text), "provenance": F.when(p | item, C.is_provenance(text)).otherwise(False)})
     # What stands outside the sections.
     rows = rows.withColumn("begun", F.coalesce(F.max((F.col("sec") == 0) & p & text.rlike(INLINE_NOTES)).over(before), F.lit(False)))
     outside = p & ~item & ~F.col("provenance")
     inline = outside & (F.col("sec") == 0) & (text.rlike(INLINE_NOTES) | (F.col("begun") & text.rlike(NUMBERED)))
-    own = F.when(outside & ~inline & C.is_bio(text) & ~F.col("contact") & ~text.rlike(REFERENCE_START) & F.substring(text, 1, 200).rlike(BIO_VERB), _own_author(text, F.col("authors")))
+    # What reads the start of a paragraph only comes first; whole texts are searched where it holds.
+    spoken = outside & ~inline & ~F.col("contact") & F.substring(text, 1, 200).rlike(BIO_VERB) & ~text.rlike(REFERENCE_START)
+    own = F.when(F.when(spoken, _own_author(text, F.col("authors")).isNotNull()), F.when(C.is_bio(text), _own_author(text, F.col("authors"))))
     kind = (
-        F.when(F.col("provenance"), "provenance").when(item & label, "label").when(item, routed(F.col("said"), F.col("heading"), F.col("authors"), F.col("separate"))).when(inline, "note")
-        .when(outside & F.coalesce(C.note_reason(text) == "author-statement", F.lit(False)), "note").when(F.col("own").isNotNull(), "own").when(outside & F.col("contact"), "contact")
+        F.when(F.col("provenance"), "provenance").when(item & label, "label").when(item, routed(F.col("said"), F.col("heading"), F.col("authors"), F.col("separate"), F.col("section"))).when(inline, "note")
+        .when(F.when(outside & C.has(text, C.STATEMENTS, case=False), F.coalesce(C.note_reason(text) == "author-statement", F.lit(False))), "note").when(F.col("own").isNotNull(), "own").when(outside & F.col("contact"), "contact")
     )
     rows = rows.withColumn("inline", inline).withColumn("own", own).withColumn("kind", kind)
     # Contacts go on with the biography right before them; one without is left to the text.
