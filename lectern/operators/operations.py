@@ -131,17 +131,28 @@ def remap_plan(ids: DataFrame, old: str, new: str) -> DataFrame:
     return moved.select(old, new, F.col("__used").isNull().alias("direct"), F.when(F.col("__used"), F.col("__top") + 1 + F.col(old)).alias("parked"))
 
 
+#: Rows of one task of a cascade, so that its memory doesn't grow with the tables.
+ROWS_A_TASK = 500_000
+
+
 def cascade(tables: dict[str, DataFrame], doomed: DataFrame, links: Sequence[tuple[str, str, str, str]]) -> dict[str, DataFrame]:
     """What is left of each table when the doomed rows of the first link's parent go, and all that hangs on what goes.
 
     links are (parent, parent key, child, child key), parents first; doomed has the first parent's key.
     """
+    parts = {name: -(-df.count() // ROWS_A_TASK) for name, df in tables.items()}
+
+    def dealt(df: DataFrame, name: str, key: str) -> DataFrame:
+        # Partitions of narrow rows are coalesced by bytes to many millions of rows; a stated number stays.
+        return df.repartition(max(parts[name], int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))), key) if parts[name] > 1 else df
+
     gone = {links[0][0]: doomed}
     for parent, pk, child, ck in links:
-        lost = tables[child].join(gone[parent].select(F.col(pk).alias(ck)).distinct(), ck, "left_semi")
+        # A semi join asks for no distinct keys, which would all be held.
+        lost = dealt(tables[child], child, ck).join(dealt(gone[parent].select(F.col(pk).alias(ck)), child, ck), ck, "left_semi")
         gone[child] = gone[child].unionByName(lost) if child in gone else lost
     keys = {links[0][0]: links[0][1]} | {c: ck for _, _, c, ck in links}
-    return {name: df.join(gone[name].select(keys[name]).distinct(), keys[name], "left_anti") if name in gone else df for name, df in tables.items()}
+    return {name: dealt(df, name, keys[name]).join(dealt(gone[name].select(keys[name]), name, keys[name]), keys[name], "left_anti") if name in gone else df for name, df in tables.items()}
 
 
 def fresh_inserts(wanted: DataFrame, existing: DataFrame, key: str, rows_a_chunk: int = 100) -> DataFrame:

@@ -60,3 +60,11 @@ def test_an_item_stands_in_one_category(spark):
     items = spark.createDataFrame([("a", 1, "Notes", "A remark on the word."), ("a", 2, "Notes", None), ("a", 3, "Author information", "Tom Lee lectures.")], "article string, position int, heading string, text string")
     got = A.extracted(items, spark.createDataFrame([], "article string, author string")).orderBy("position").collect()
     assert [(r.category, r.position) for r in got] == [("note", 1), ("bio", 3)]
+
+
+def test_cascade_of_many_rows_states_its_tasks(spark, monkeypatch):
+    monkeypatch.setattr(P, "ROWS_A_TASK", 10)
+    t = {"a": spark.range(200).withColumnRenamed("id", "k"), "b": spark.range(400).selectExpr("id as b", "id % 200 as k")}
+    left = P.cascade(t, t["a"].where("k < 50"), [("a", "k", "b", "k")])
+    assert (left["a"].count(), left["b"].count()) == (150, 300)
+    assert left["b"].rdd.getNumPartitions() >= 40
