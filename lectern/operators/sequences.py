@@ -2,36 +2,57 @@
 
 from __future__ import annotations
 
-import re
-
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, StringType
+from pyspark.sql.types import ArrayType, IntegerType
 from pyspark.sql.window import Window
 
+from lectern.functions.wording import let
+
 #: An indent is wider than the first and no wider than the second, in points.
 INDENT = (5.0, 15.0)
-NUMBERED = re.compile(r"^(\d+)\s*(.+)")
+#: Decimal digits of all scripts and their values; blanks as Python's split sees them.
+DIGITS = "".join(chr(c) for c in range(0x110000) if chr(c).isdecimal())
+BLANK = r"[\s\x1c-\x1f]"
+NUMBERED = rf"(?Ud)^(\d+){BLANK}*(.+)"
+
+
+@F.pandas_udf(ArrayType(IntegerType()))
+def _starts(numbers: pd.Series) -> pd.Series:
+    """Places (from 0) of the numbers 1, 2, … of an array, each after the last. The running number is state; only numbers come to Python."""
+
+    def places(row: list | None) -> list:
+        found: list[int] = []
+        for i, n in enumerate([] if row is None else row):
+            if n == len(found) + 1:
+                found.append(i)
+        return found
+
+    return numbers.map(places)
 
 
-@F.pandas_udf(ArrayType(StringType()))
-def numbered_items(lines: pd.Series) -> pd.Series:
+def numbered_items(lines: Column | str) -> Column:
     """Items 1, 2, … of an array of lines: a line whose number follows the last one starts an item, others go on with it.
 
-    Null with fewer than three items. The running number is state, so one pass over each array does it.
+    Null with fewer than three items.
     """
-    def items(rows: list | None) -> list | None:
-        found: list[list[str]] = []
-        for row in [] if rows is None else rows:
-            m = NUMBERED.match(row or "")
-            if m and int(m[1]) == len(found) + 1:
-                found.append([m[2]])
-            elif found:
-                found[-1].append(row or "")
-        return [" ".join(" ".join(x).split()) for x in found] if len(found) >= 3 else None
-
-    return lines.map(items)
+    lines = F.col(lines) if isinstance(lines, str) else lines
+    ascii_digits = "".join(str(int(c)) for c in DIGITS)
+    number = lambda x: F.regexp_replace(F.translate(F.regexp_extract(x, NUMBERED, 1), DIGITS, ascii_digits), "^0+", "")
+    # Zero stands for no number and for one that no array is long enough for.
+    numbers = F.transform(lines, lambda x: let(number(F.coalesce(x, F.lit(""))), lambda n: F.when((n != "") & (F.char_length(n) < 10), n.cast("int")).otherwise(0)))
+
+    def items(x: Column) -> Column:
+        def item(at: Column, j: Column) -> Column:
+            end = F.coalesce(F.get(x["starts"], j + 1), F.size(x["lines"]))
+            rest = F.slice(x["lines"], at + 2, end - at - 1)
+            said = F.concat_ws(" ", F.regexp_extract(F.get(x["lines"], at), NUMBERED, 2), rest)
+            return F.regexp_replace(F.regexp_replace(said, rf"(?U){BLANK}+", " "), "^ | $", "")
+
+        return F.when(F.size(x["starts"]) >= 3, F.transform(x["starts"], item))
+
+    return let(F.struct(lines.alias("lines"), _starts(numbers).alias("starts")), items)
 
 
 def back_matter(df: DataFrame, key: str, pos: str, back: Column) -> DataFrame:
