@@ -10,6 +10,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType
 
+from lectern.functions.wording import let
+
 #: Words that begin a family name.
 PARTICLES = ("van", "de", "du", "von", "di", "la", "le", "el", "dos", "das")
 
@@ -20,6 +22,25 @@ def folded(s: pd.Series) -> pd.Series:
     return s.map(lambda x: None if x is None else "".join(c for c in unicodedata.normalize("NFKD", x) if not unicodedata.combining(c)))
 
 
+def folded_text(c: Column) -> Column:
+    """What `folded` gives, for long texts: each character folds by itself, so Python is sent the distinct ones beyond ASCII only."""
+    chars = F.array_distinct(F.regexp_extract_all(c, F.lit("[^\\x00-\\x7f]"), F.lit(0)))
+
+    def of(x: Column) -> Column:
+        pairs = F.zip_with(x["chars"], F.split(x["to"], "\x00"), lambda a, b: F.struct(a.alias("a"), b.alias("b")))
+
+        def put(p: Column) -> Column:
+            single = F.filter(p, lambda q: F.char_length(q["b"]) <= 1)
+            # Those without anything left come last: translate drops what has no partner.
+            ordered = F.concat(F.filter(single, lambda q: q["b"] != ""), F.filter(single, lambda q: q["b"] == ""))
+            plain = let(ordered, lambda o: F.call_function("translate", x["text"], F.array_join(F.transform(o, lambda q: q["a"]), ""), F.array_join(F.transform(o, lambda q: q["b"]), "")))
+            return F.aggregate(F.filter(p, lambda q: F.char_length(q["b"]) > 1), plain, lambda s, q: F.replace(s, q["a"], q["b"]))
+
+        return F.when(F.size(x["chars"]) < 1, x["text"]).otherwise(let(pairs, put))
+
+    return let(F.struct(c.alias("text"), chars.alias("chars"), folded(F.array_join(chars, "\x00")).alias("to")), of)
+
+
 def name_key(c: Column) -> Column:
     """Folded, in lower case, blanks collapsed: equal for spellings that differ in accents, case and spacing only."""
     return F.trim(F.regexp_replace(F.lower(folded(c)), r"(?U)\s+", " "))

@@ -127,7 +127,7 @@ def runon_bios(paragraph: Column) -> Column:
 
 def content_signature(text: Column) -> Column:
     """Letters and digits of a text, folded: equal before and after a change that keeps the content."""
-    return F.regexp_replace(F.lower(N.folded(text)), "[^0-9a-z]", "")
+    return F.regexp_replace(F.lower(N.folded_text(text)), "[^0-9a-z]", "")
 
 
 def common_start(a: Column, b: Column) -> Column:
