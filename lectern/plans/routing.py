@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from lectern.functions import markup as K
 from lectern.functions import wording as W
 from lectern.operators import routing as G
-from lectern.plans.catalog import query
+from lectern.plans.catalog import query, spread
 
 FILL = "lorem ipsum dolor sit amet " * 6
 D = f"""d AS (SELECT doc_id, doc_id % 4 AS k, doc_id % 3 AS v, '{FILL}' || coalesce(text, '') AS raw, 'Qqzx Brand ' || doc_id || ' Ljjk' AS title FROM documents),
@@ -55,7 +55,7 @@ def _(t):
     from lectern.functions import text as X
 
     words = F.filter(F.split(X.squash(F.col("text")), " "), lambda w: w != "")
-    d = t("documents").where("text is not null").select("doc_id", words.alias("w")).where("size(w) >= 14")
+    d = spread(t("documents").where("text is not null").select("doc_id", "text")).select("doc_id", words.alias("w")).where("size(w) >= 14")
     third = F.get("w", (10 + F.col("doc_id") % 3).cast("int"))
     phrase = F.when(F.col("doc_id") % 2 == 0, F.array(F.get("w", F.lit(5)), F.get("w", F.lit(2)), third)).otherwise(F.array(F.get("w", F.lit(2)), F.get("w", F.lit(5)), third))
     return d.select("doc_id", W.phrase_end(F.col("w"), phrase).cast("int").alias("place"))
