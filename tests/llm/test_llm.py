@@ -185,6 +185,24 @@ def test_near_lines(spark):
     assert all(any(edit_similarity(texts[d], texts[e]) >= lines.SIMILAR for e in range(len(texts)) if e != d) for d in gone)
 
 
+def test_lines_lose_no_link(spark):
+    r = random.Random(5)
+    texts = ["cheque", "cheques", "user 12345678 has logged in", "user 12349999 has logged in", "ab", "ac"]
+    for n in [1, 2, 3, 6, 12, 40] * 4:
+        a = " ".join("".join(r.choices("etaoinsrhld", k=r.randint(3, 9))) for _ in range(n))
+        b = list(a)
+        for k in r.sample(range(len(b)), len(b) // 6):
+            b[k] = r.choice("xyz") if b[k] != " " else " "
+        texts += [a, "".join(b)]
+    root = list(range(len(texts)))
+    for e in range(len(texts)):
+        for d in range(e):
+            if root[d] != root[e] and edit_similarity(texts[d], texts[e]) >= lines.SIMILAR - 1e-9:
+                root = [min(root[d], root[e]) if x in (root[d], root[e]) else x for x in root]
+    found = lines.dedup(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+    assert {x.doc_id for x in found.where("n_removed = 1").collect()} == {e for e in range(len(texts)) if root[e] != e} and len(set(root)) < len(texts) - 20
+
+
 def test_lines_fold_punctuation(spark):
     table = spark.createDataFrame([(1, "All rights reserved, 2024.\n---"), (2, "all rights -- reserved (2024)\n---")], "doc_id long, text string")
     assert {x.doc_id: x.kept for x in lines.dedup(table).collect()} == {1: "All rights reserved, 2024.\n---", 2: "---"}
