@@ -33,12 +33,14 @@ JATS_VOID = ("break", "graphic", "hr")
 
 
 def nodes(texts: DataFrame, key: str, markup: str, counted: tuple[str, ...] = (), void: tuple[str, ...] = K.VOID_ELEMENTS) -> DataFrame:
-    """(key, at, kind, name, source, depth, parent, in_<name> for each of counted): the events of each balanced text.
+    """(key, row, at, kind, name, source, depth, parent, of, in_<name> for each of counted): the events of each balanced text.
 
-    parent is the position of the element that an event stands in, null at the top; an end has the position of what holds
-    its element.
+    parent is the position of the element that an event stands in and `of` its name, null at the top; an end has those of
+    what holds its element. The first event carries the whole row of `texts`, so that nothing is read twice; a text without
+    events has one row without position.
     """
-    events = texts.select(F.col(key).alias("key"), K.balanced(F.col(markup), void).alias("m")).select("key", F.posexplode(K.events(F.col("m"))).alias("at", "e")).select("key", "at", "e.*")
+    events = texts.select(F.col(key).alias("key"), F.struct(*texts.columns).alias("row"), K.balanced(F.col(markup), void).alias("m")).select("key", "row", F.posexplode_outer(K.events(F.col("m"))).alias("at", "e"))
+    events = events.select("key", F.when(F.coalesce("at", F.lit(0)) == 0, F.col("row")).alias("row"), "at", "e.*")
     order = Window.partitionBy("key").orderBy("at").rowsBetween(Window.unboundedPreceding, 0)
     move = F.when(F.col("kind") == "start", 1).when(F.col("kind") == "end", -1).otherwise(0)
     held = lambda n: F.sum(F.when(F.col("name") == n, move).otherwise(0)).over(order) - F.when((F.col("kind") == "start") & (F.col("name") == n), 1).otherwise(0)
@@ -46,8 +48,9 @@ def nodes(texts: DataFrame, key: str, markup: str, counted: tuple[str, ...] = ()
     # The parent of what stands at a depth is the last start one above: both are rows of one level.
     levels = deep.withColumn("level", F.explode(F.when(F.col("kind") == "start", F.array(F.col("depth"), F.col("depth") + 1)).otherwise(F.array("depth"))))
     level = Window.partitionBy("key", "level").orderBy("at").rowsBetween(Window.unboundedPreceding, -1)
-    opened = F.when((F.col("kind") == "start") & (F.col("level") == F.col("depth") + 1), F.col("at"))
-    return levels.withColumn("parent", F.last(opened, ignorenulls=True).over(level)).where("level = depth").drop("level")
+    opened = F.when((F.col("kind") == "start") & (F.col("level") == F.col("depth") + 1), F.struct("at", "name"))
+    held_by = levels.withColumn("held_by", F.last(opened, ignorenulls=True).over(level)).where("level = depth")
+    return held_by.withColumns({"parent": F.col("held_by.at"), "of": F.col("held_by.name")}).drop("level", "held_by")
 
 
 def _written(name: str, rules: dict[str, tuple[str, str]]) -> tuple[Column, Column]:
@@ -55,10 +58,13 @@ def _written(name: str, rules: dict[str, tuple[str, str]]) -> tuple[Column, Colu
     return F.coalesce(F.try_element_at(table(0), F.col(name)), F.lit("")), F.coalesce(F.try_element_at(table(1), F.col(name)), F.lit(""))
 
 
-def _joined(texts: DataFrame, pieces: DataFrame, key: str, markup: str, to: str) -> DataFrame:
-    """texts with the pieces of each put together in order; a text without events is empty, a null one null."""
-    whole = pieces.groupBy("key").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", "piece"))), lambda x: x["piece"]), "").alias("__whole"))
-    return texts.join(whole, F.col(key) == F.col("key"), "left").withColumn(to, F.when(F.col(markup).isNotNull(), F.coalesce(F.regexp_replace("__whole", r"^\s+|\s+$", ""), F.lit("")))).drop("key", "__whole")
+def _joined(pieces: DataFrame, key: str, markup: str, to: str) -> DataFrame:
+    """The rows that the first events carry, with the pieces of each text put together in order, `end` behind them; a text without events is empty, a null one null."""
+    whole = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", "piece"))), lambda x: x["piece"]), "")
+    found = pieces.groupBy("key").agg(F.concat(whole, F.coalesce(F.max("end"), F.lit(""))).alias("__whole"), F.collect_list("row").alias("__rows"))
+    rows = found.select("__whole", F.explode("__rows").alias("__row")).select("__row.*", "__whole")
+    said = F.when(F.col(key).isNotNull(), F.regexp_replace("__whole", r"^\s+|\s+$", ""))
+    return rows.withColumn(to, F.when(F.col(markup).isNotNull(), F.coalesce(said, F.lit("")))).drop("__whole")
 
 
 def _with_attributes(rows: DataFrame) -> DataFrame:
@@ -77,20 +83,20 @@ def to_jats(articles: DataFrame, key: str, html: str, to: str = "jats") -> DataF
     """
     n = nodes(articles, key, html, ("li", "blockquote", "head"))
     opens, closes = _written("name", JATS_RULES)
-    heads = n.where(F.col("name").isin("h2", "h3") & (F.col("kind") == "start"))
-    order = Window.partitionBy("key").orderBy("at")
+    head, quote = F.col("name").isin("h2", "h3") & (F.col("kind") == "start"), F.col("kind").isin("start", "end") & (F.col("name") == "blockquote")
     before = Window.partitionBy("key").orderBy("at").rowsBetween(Window.unboundedPreceding, -1)
-    outer = F.coalesce(F.max(F.when(F.col("name") == "h2", 1).otherwise(0)).over(before), F.lit(0))
-    inner = F.coalesce((F.lag("name").over(order) == "h3").cast("int"), F.lit(0))
+    outer = F.coalesce(F.max(F.when(head & (F.col("name") == "h2"), 1).otherwise(0)).over(before), F.lit(0))
+    inner = F.coalesce((F.last(F.when(head, F.col("name")), ignorenulls=True).over(before) == "h3").cast("int"), F.lit(0))
+    rows = n.withColumns({"outer": outer, "inner": inner, "last": F.max(F.when(head, F.col("at"))).over(Window.partitionBy("key")) == F.col("at")})
+    outer, inner = F.col("outer"), F.col("inner")
     closing = F.when(F.col("name") == "h2", outer + inner).otherwise(inner)
-    last = F.row_number().over(Window.partitionBy("key").orderBy(F.desc("at"))) == 1
     left = F.greatest(outer, (F.col("name") == "h2").cast("int")) + (F.col("name") == "h3").cast("int")
-    sections = heads.select("key", "at", F.repeat(F.lit("</sec>\n"), closing).alias("before"), F.when(last, F.repeat(F.lit("</sec>\n"), left)).alias("end"))
-    quotes = n.where("kind = 'start' and name = 'p' and in_blockquote > 0").groupBy("key", "parent").agg(F.lit(True).alias("has_p"))
-    wraps = n.where("kind in ('start', 'end') and name = 'blockquote'").select("key", "at", "kind", F.when(F.col("kind") == "start", F.col("at")).alias("opened"), "depth")
-    matched = wraps.withColumn("opened", F.last("opened", ignorenulls=True).over(Window.partitionBy("key", "depth").orderBy("at")))
-    bare = matched.join(quotes, (matched["key"] == quotes["key"]) & (matched["opened"] == quotes["parent"]), "left").select(matched["key"], matched["at"], F.col("has_p").isNull().alias("bare"))
-    rows = n.join(sections, ["key", "at"], "left").join(bare, ["key", "at"], "left")
+    rows = rows.withColumns({"before": F.when(head, F.repeat(F.lit("</sec>\n"), closing)), "end": F.when(head & F.col("last"), F.repeat(F.lit("</sec>\n"), left))})
+    # A quote and the paragraphs that stand right in it share the quote's position.
+    inside = (F.col("kind") == "start") & (F.col("name") == "p") & (F.col("in_blockquote") > 0)
+    opened = F.last(F.when(quote & (F.col("kind") == "start"), F.col("at")), ignorenulls=True).over(Window.partitionBy("key", "depth").orderBy("at"))
+    rows = rows.withColumn("opened", opened).withColumn("quoted", F.when(quote, F.col("opened")).when(inside, F.col("parent")))
+    rows = rows.withColumn("bare", F.when(quote, F.max(F.when(inside, True)).over(Window.partitionBy("key", "quoted")).isNull()))
     source, kind, name = F.col("source"), F.col("kind"), F.col("name")
     rows = _with_attributes(rows)
     href, src, title, width = (F.coalesce(K.value_of(F.col("attributes"), a), F.lit("")) for a in ("href", "src", "alt", "data-width"))
@@ -108,18 +114,14 @@ def to_jats(articles: DataFrame, key: str, html: str, to: str = "jats") -> DataF
         .when(name == "img", F.when(src != "", graphic).otherwise("")).when(name == "blockquote", F.when(kind == "start", F.concat(opens, F.when(F.col("bare"), "<p>").otherwise(""))).otherwise(F.concat(F.when(F.col("bare"), "</p>").otherwise(""), closes)))
         .when(kind.isin("start", "empty"), F.concat(F.coalesce("before", F.lit("")), opens)).otherwise(closes)
     )
-    pieces = rows.select("key", "at", piece.alias("piece"))
-    ends = sections.where("end is not null").select("key", F.lit((1 << 31) - 1).alias("at"), F.col("end").alias("piece"))
-    return _joined(articles, pieces.unionByName(ends), key, html, to)
+    return _joined(rows.select("key", "row", "at", piece.alias("piece"), "end"), key, html, to)
 
 
 def to_html(articles: DataFrame, key: str, jats: str, to: str = "html") -> DataFrame:
     """articles with the body of each as HTML: sections become headings of level 2, inner ones of level 3; items of one paragraph lose its element. Keys must be unique."""
     n = nodes(articles, key, jats, ("sec",), JATS_VOID)
     source, kind, name = F.col("source"), F.col("kind"), F.col("name")
-    kids = n.where("kind in ('start', 'empty')").groupBy("key", "parent").agg(F.count(F.lit(1)).alias("kids"))
-    parents = n.where("kind = 'start'").select("key", F.col("at").alias("parent"), F.col("name").alias("of"), F.col("source").alias("of_source"))
-    rows = n.join(kids, ["key", "parent"], "left").join(parents, ["key", "parent"], "left")
+    rows = n.withColumn("kids", F.sum(F.when(kind.isin("start", "empty"), 1).otherwise(0)).over(Window.partitionBy("key", "parent")))
     opens, closes = _written("name", HTML_RULES)
     rows = _with_attributes(rows)
     ordered = F.coalesce(K.value_of(F.col("attributes"), "list-type") == "order", F.lit(False))
@@ -137,4 +139,4 @@ def to_html(articles: DataFrame, key: str, jats: str, to: str = "html") -> DataF
         .when(name == "ext-link", F.when(kind == "start", F.concat(F.lit('<a href="'), _quoted(href), F.lit('">'))).otherwise("</a>")).when(name == "graphic", image)
         .when(kind.isin("start", "empty"), opens).otherwise(closes)
     )
-    return _joined(articles, rows.select("key", "at", piece.alias("piece")), key, jats, to)
+    return _joined(rows.select("key", "row", "at", piece.alias("piece"), F.lit(None).cast("string").alias("end")), key, jats, to)

@@ -93,5 +93,5 @@ def _(t):
         .otherwise('<blockquote><p>q1</p><p>q2</blockquote><!-- c --><figure><img src=a.png alt=\'A "b"\' data-width="40%"><figcaption>Cap</figcaption></figure><script>x</script>')
     )
     html = F.concat(F.lit("<head><title>t</title></head><h2>One "), d, F.lit("</h2><p>"), K.escaped(F.coalesce("text", F.lit(""))), F.lit(' <i>x</i> & <a href="https://e.org/?a=1&amp;b=2">link</a><a name="q">.</a></p>'), shapes, F.lit("<h2>End</h2><p>last<br>line"))
-    there = J.to_jats(t("documents").select("doc_id", html.alias("source")), "doc_id", "source")
+    there = J.to_jats(spread(t("documents").select("doc_id", "text")).select("doc_id", html.alias("source")), "doc_id", "source")
     return J.to_html(there, "doc_id", "jats").select("doc_id", F.md5("jats").alias("jats"), F.md5("html").alias("html"))

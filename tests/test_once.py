@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from lectern.functions import names as N
 from lectern.operators import articles as A
+from lectern.operators import jats as J
 from lectern.operators import sequences as S
 
 
@@ -28,3 +29,14 @@ def test_python_sees_numbers_and_characters_only(spark):
     # The texts themselves stay out of what Python is sent.
     plan = df._jdf.queryExecution().executedPlan().toString()
     assert "folded(t#" not in plan and "folded(array_join(array_distinct(" in plan.replace("folded(pythonUDF", "")
+
+
+def test_articles_are_read_and_balanced_once_each_way(spark):
+    rows = [(1, "<h2>A</h2><blockquote>b</blockquote><ul><li><p>c</p></li></ul><h3>D</h3>e"), (2, None), (3, ""), (None, "<p>x</p>"), (None, "<p>y</p>")]
+    there = J.to_jats(spark.createDataFrame(rows, "k int, h string"), "k", "h")
+    found = J.to_html(there, "k", "jats")
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("LogicalRDD") == 1 and plan.count("ArrowEvalPython") == 2
+    want = {1: "<h2>A</h2>\n<blockquote>b</blockquote>\n<ul><li>c</li>\n</ul>\n<h3>D</h3>\n\ne", 2: None, 3: ""}
+    got = found.collect()
+    assert {r.k: r.html for r in got if r.k} == want and sorted((r.h, r.jats, r.html) for r in got if r.k is None) == [("<p>x</p>", "", ""), ("<p>y</p>", "", "")]
