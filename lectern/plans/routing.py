@@ -32,7 +32,7 @@ def _articles(t):
     intro = F.concat(part("p", "stray"), part("h1", title), part("h2", "Book  Reviews"), F.lit("<div>"), body, F.lit("</div>"), part("h2", "Another book"), part("p", "Alien text."))
     html = F.when(k == 0, article).when(k == 1, editorial).when(k == 2, review).otherwise(intro)
     section = F.element_at(F.array(*[F.lit(x) for x in ("Articles", "Editorial", "Book Reviews", "Book Review Editorial")]), (k + 1).cast("int"))
-    return t("documents").select("doc_id", html.alias("html"), section.alias("section"), title.alias("title"), F.lit("A longer story of it").alias("subtitle"), F.when(k == 0, "Ann B. Clark and Tom Lee").otherwise("Ann Clark").alias("authors"), abstract.alias("abstract"), following.alias("following"), ((k == 2) & (v == 9)).alias("combined"))
+    return spread(t("documents").select("doc_id", "text", "source")).select("doc_id", html.alias("html"), section.alias("section"), title.alias("title"), F.lit("A longer story of it").alias("subtitle"), F.when(k == 0, "Ann B. Clark and Tom Lee").otherwise("Ann Clark").alias("authors"), abstract.alias("abstract"), following.alias("following"), ((k == 2) & (v == 9)).alias("combined"))
 
 
 @query("cleaned_articles", f"""WITH {D} SELECT doc_id, CASE k WHEN 0 THEN 4 WHEN 3 THEN 2 ELSE 1 END::BIGINT AS blocks,
