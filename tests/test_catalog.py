@@ -45,3 +45,23 @@ def test_word_overlap_works_out_its_arguments_once(spark):
     found = df.select("a", "b", X.word_overlap(long(F.col("a")), long(F.col("b"))).alias("o"))
     assert found._jdf.queryExecution().optimizedPlan().toString().count("regexp_replace") == 2
     assert [x.o for x in found.collect()] == pytest.approx([1 / 3, 1.0, None, 0.0, None, 0.0, 0.5, 1.0])
+
+
+def test_title_keys_keep_words_apart_as_the_reference_does(spark, tmp_path):
+    import hashlib
+    import re
+
+    import duckdb
+    import pandas as pd
+
+    blanks = [chr(c) for c in range(0x3001) if chr(c).isspace()]
+    texts = [*(f"Być{b}i Čas" for b in blanks), "A & B&C", "Être_là, (2024)! naïve\u00a0\u2009x", "漢字\u3000①½", "e\u0301a\u200bb", "\u00a0", "", None]
+    docs = pd.DataFrame({"doc_id": range(len(texts)), "text": texts})
+    spark.createDataFrame(docs).write.parquet(f"{tmp_path}/documents.parquet")
+    # The reference's _normalise_title (backfill/lib/crossref.py:396-402).
+    rule = lambda x: x if x is None else hashlib.md5(re.sub(r"\s+", " ", re.sub(r"[^\w\s]", "", x.lower().replace("&", "and"))).strip().encode()).hexdigest()
+    got = {r.doc_id: r.title for r in catalog.queries()["title_keys"](spark, str(tmp_path)).collect()}
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    sql = {r[0]: r[1] for r in con.sql(catalog.oracle_sql()["title_keys"]).fetchall()}
+    assert len(blanks) > 20 and got == sql == {d: rule(x) for d, x in enumerate(texts)}
