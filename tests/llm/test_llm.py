@@ -139,6 +139,21 @@ def test_decontamination_of_repeated_rows(spark):
     assert Counter((r.doc_id, r.n_hit, r.contaminated) for r in got) == Counter({(1, 11, True): 3, (1, 0, False): 1, (None, 11, True): 2, (2, 1, True): 2, (3, 0, False): 1})
 
 
+def test_jaccard_moves_only_sets_that_are_paired(docs, monkeypatch):
+    written, keep = [], jaccard.stored
+    monkeypatch.setattr(jaccard, "stored", lambda df, name: written.append((name, df)) or keep(df, name))
+    answer = lambda: sorted((str(x.doc_id), x.n_shingles, str(x.component_id)) for x in jaccard.join(docs).collect())
+    want = answer()
+    # No second table of the sets is written, and those of one side of the pairs stay where they lie.
+    assert "pairs" in [n for n, _ in written] and "sets" not in [n for n, _ in written]
+    met = next(df for n, df in written if n == "met")._jdf.queryExecution().executedPlan().toString()
+    assert met.count("BroadcastHashJoin") >= 3
+    # Above the bound sets and pairs meet in shuffle joins, with the same result.
+    monkeypatch.setattr(jaccard, "BROADCAST_ROWS", 0)
+    written.clear()
+    assert answer() == want and "sets" in [n for n, _ in written]
+
+
 def test_proximity(spark):
     index = spark.createDataFrame([("a", 1, 3), ("b", 1, 9), ("b", 1, 40), ("b", 2, 4)], "term string, id long, pos int")
     assert [(r.id, r.pos, r.other) for r in decontaminate.proximity(index, "a", "b", 6).collect()] == [(1, 3, 9)]
